@@ -13,6 +13,18 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """An equi-join on ``keys`` of rows with totals of the same keys.
+
+    Totals come partitioned by their keys, and a join that makes use of it cannot be split: a key that a third of the
+    rows have would land in one task. Joined on the keys as a struct, both sides are dealt anew, and adaptive execution
+    splits such a key. Null keys meet no totals.
+    """
+    own = left.withColumn("_key", F.struct(*keys))
+    totals = right.select(F.struct(*keys).alias("_key"), *[c for c in right.columns if c not in keys])
+    return own.join(totals, "_key", how).drop("_key")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of ``edges`` (src, dst); component is the smallest node reachable.
 
@@ -31,9 +43,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = split_join(both, low, ["u"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low2, "u")
+        joined = split_join(large, low2, ["u"])
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low2.select("u", F.col("m").alias("v"))
         )
