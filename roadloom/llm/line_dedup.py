@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.llm.common import SPACE_BYTES
+from roadloom.operators.graph import split_join
 
 MIN_CHARS, MIN_DOCS = 20, 3
 
@@ -53,7 +54,7 @@ def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_
     """
     lines = document_lines(docs, min_chars).groupBy("k1", "k2", "doc_id").agg(F.count("*").alias("rows"))
     frequent = lines.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("k1", "k2", "keeper")
-    drops = lines.join(frequent, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
+    drops = split_join(lines, frequent, ["k1", "k2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper"))).groupBy("doc_id").agg(F.collect_list(F.struct("k1", "k2")).alias("drop"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     d = drops.select(F.col("doc_id").alias("_id"), F.col("drop.k1").alias("k1"), F.col("drop.k2").alias("k2"))
     both = base.join(d, base["doc_id"].eqNullSafe(d["_id"]), "left").select("doc_id", "text", "k1", "k2")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.operators.graph import connected_components
+from roadloom.operators.graph import connected_components, split_join
 from roadloom.session import checkpointed
 
 BITS, BLOCKS = 64, 4
@@ -229,7 +229,7 @@ def near_dedup(docs: DataFrame, budget: int = 3, place_rows: int = PLACE_ROWS) -
     comps = connected_components(near_edges(prints.select("fp"), budget, place_rows)).select(F.col("node").alias("fp"), "component")
     named = prints.join(comps, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    ids = named.join(lows, "component").select("fp", "component_id")
+    ids = split_join(named, lows, ["component"]).select("fp", "component_id")
     return rows.join(ids, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.expr("doc_id <=> component_id").alias("kept")
     )
