@@ -1,17 +1,43 @@
-"""All registered queries of the road-traffic operators."""
+"""All registered queries of the road-traffic operators, with the SQL that checks them."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from roadloom.sources.fixtures import with_views
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+_MODULES = ("validation", "observation", "geometry", "joins", "network", "reports")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name, with the SQL that gives the same rows."""
+
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for name in _MODULES:
+        importlib.import_module(f"roadloom.plans.{name}")
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_SQL)
