@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from roadloom.llm.common import lower_ascii
 
 #: Hashed features, lengths of n-grams, and rows of the labelled table that the fit uses at most.
-BUCKETS, GRAMS, MAX_LABELLED = 1 << 15, (2, 3, 4), 4096
+BUCKETS, GRAMS, MAX_LABELLED = 1 << 16, (2, 3, 4, 5, 6), 4096
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ def fit_urls(labelled: DataFrame, max_labelled: int = MAX_LABELLED):
     try:
         if len(rows.select("label").distinct().take(2)) < 2:
             return None
-        return LogisticRegression(maxIter=25, regParam=0.01, aggregationDepth=2).fit(rows)
+        return LogisticRegression(maxIter=30, regParam=0.001, aggregationDepth=2).fit(rows)
     finally:
         rows.unpersist()
 
@@ -90,7 +90,7 @@ def url_filter(pages: DataFrame, rules: Sequence[UrlRule], labelled: DataFrame,
     The verdict is the rule's, else ``block`` where the model gives a probability of at least one half; score is that
     probability. Null URLs and such without ``://`` have an empty host and path and are judged by the model. Without a
     model all of those are allowed, with a null score. Repeated rows are judged alike. Nothing is shuffled but the
-    bounded labelled table; the model is a fixed 2^15 numbers.
+    bounded labelled table; the model is a fixed 2^16 numbers.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     model = fit_urls(labelled, max_labelled)
