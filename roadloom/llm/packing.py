@@ -23,7 +23,7 @@ CAPACITY, END_ID = 1024, 2
 #: Pieces of a block; islands of a block; solutions of an island; generations between migrations; migrations.
 BLOCK_ITEMS, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 4096, 2, 4, 6, 2
 #: Entries of a worker's memo of words.
-MEMO = 600_000
+MEMO = 400_000
 
 _memo: dict = {}
 
@@ -42,8 +42,8 @@ class ByteBpe:
     """Ids of whole texts, by the ``tokenizers`` library.
 
     Byte-level BPE never merges across pre-tokens, and where no two white spaces meet, a pre-token never crosses the place
-    before a space. So words are remembered, and words not met yet are put together from remembered pre-tokens; only
-    new pre-tokens, texts with white space side by side and texts that spell a special token go through the library.
+    before a space. So words are put together from remembered pre-tokens; new pre-tokens go through the library's
+    model, and texts with white space side by side or a special token's string through all of it.
     """
 
     def __init__(self, path: str, memo: int = MEMO):
@@ -51,7 +51,7 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.words, self.tokens, self.limit = {}, {}, memo
+        self.spaced, self.mixed, self.tokens, self.limit = {}, {}, {}, memo
         self.double, self.pre = regex.compile(r"\s\s"), regex.compile(PRE_TOKEN)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         # Byte-level BPE spells byte b as a printable character: itself where it is one, else 256 and up in turn.
@@ -59,28 +59,42 @@ class ByteBpe:
         spare = iter(range(256, 512))
         self.spell = {b: b if b in plain else next(spare) for b in range(256)}
 
+    def _ids(self, token: str) -> bytes:
+        spelt = token.encode("utf-8", "replace").decode("latin-1").translate(self.spell)
+        return np.array([t.id for t in self.whole.model.tokenize(spelt)], "<u4").tobytes()
+
     def _token(self, token: str) -> bytes:
-        """Ids of one pre-token, remembered."""
+        """Ids of one pre-token that is no spaced word, remembered."""
         ids = self.tokens.get(token)
         if ids is None:
-            if len(self.tokens) > self.limit:
+            if len(self.tokens) * 4 > self.limit:
                 self.tokens.clear()
-            spelt = token.encode("utf-8", "replace").decode("latin-1").translate(self.spell)
-            ids = self.tokens[token] = np.array([t.id for t in self.whole.model.tokenize(spelt)], "<u4").tobytes()
+            ids = self.tokens[token] = self._ids(token)
+        return ids
+
+    def _spaced(self, word: str) -> bytes:
+        """Ids of letters with the space before them, remembered by the letters."""
+        ids = self.spaced.get(word)
+        if ids is None:
+            if len(self.spaced) > self.limit:
+                self.spaced.clear()
+            ids = self.spaced[word] = self._ids(" " + word)
         return ids
 
     def _word(self, word: str) -> bytes:
-        """Ids of a word with the space before it, remembered. Most words are letters and then sentence marks."""
-        core = word.rstrip(".,;:!?")
-        if core.isalpha():
-            ids = self._token(" " + core)
-            if len(core) < len(word):
-                ids += self._token(word[len(core) :])
-        else:
-            ids = b"".join([self._token(t) for t in self.pre.findall(" " + word)])
-        if len(self.words) > self.limit:
-            self.words.clear()
-        self.words[word] = ids
+        """Ids of a word with the space before it. Most words are letters and then sentence marks, two pre-tokens."""
+        ids = self.mixed.get(word)
+        if ids is None:
+            core = word.rstrip(".,;:!?")
+            if len(core) == len(word) and core.isalpha():
+                return self._spaced(core)
+            if core.isalpha():
+                ids = self._spaced(core) + self._token(word[len(core) :])
+            else:
+                ids = b"".join([self._token(t) for t in self.pre.findall(" " + word)])
+            if len(self.mixed) * 2 > self.limit:
+                self.mixed.clear()
+            self.mixed[word] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -88,7 +102,7 @@ class ByteBpe:
         if self.double.search(text) or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         head, *rest = text.split(" ")
-        known, learn = self.words.get, self._word
+        known, learn = self.spaced.get, self._word
         out = [self._token(t) for t in self.pre.findall(head)]
         out += [known(w) or learn(w) for w in rest]
         return b"".join(out)
