@@ -44,6 +44,17 @@ def argument_errors(arguments, schema: Mapping | None) -> list[str]:
 
 
 def call_levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """``_levels``, on fewer edges: a dependency that another dependency of the same call has itself cannot set the level,
+    and without such edges most branches become chains. If the levels do not fit all edges, which only a cycle among the
+    dependencies of a call can cause, they are made anew from all of them."""
+    via = edges.join(edges.select(F.col("id").alias("on"), F.col("on").alias("far")), "on").where("id <> on and on <> far").select("id", F.col("far").alias("on"))
+    found = checkpointed(_levels(calls, checkpointed(edges.join(via, ["id", "on"], "left_anti"))))
+    low = found.select(F.col("id").alias("on"), F.col("level").alias("low"))
+    wrong = edges.join(found, "id").join(low, "on", "left").where("low is null or low >= level")
+    return found if wrong.isEmpty() else _levels(calls, edges)
+
+
+def _levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level) for ids of ``calls`` (id): 0 without edges (id, on), else one above the highest that it depends on.
 
     Sorting by level is a topological order. Calls with one dependency form chains, and pointers along chains double

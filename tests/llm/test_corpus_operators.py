@@ -299,6 +299,9 @@ def test_tool_calls(spark):
     chain = spark.range(300).select(F.lit("c").alias("conv_id"), F.col("id").cast("string").alias("call_id"), F.lit("search").alias("name"), F.lit("{}").alias("arguments"), F.when(F.col("id") > 0, F.array((F.col("id") - 1).cast("string"))).alias("depends_on"))
     assert all(r["level"] == int(r["call_id"]) for r in link_tool_calls(chain, rdf.limit(0), Q.TOOL_SCHEMAS).collect())
     assert link_tool_calls(cdf.limit(0), rdf.limit(0), Q.TOOL_SCHEMAS).count() == 0
+    ring = [("c", "i", "x", "{}", ["a", "b", "d", "o"]), ("c", "a", "x", "{}", ["b"]), ("c", "b", "x", "{}", ["d"]), ("c", "d", "x", "{}", ["a"]), ("c", "o", "x", "{}", []), ("c", "p", "x", "{}", ["o"]), ("c", "q", "x", "{}", ["o", "p"])]
+    got = {r["call_id"]: r["level"] for r in link_tool_calls(spark.createDataFrame(ring, cdf.schema), rdf.limit(0), Q.TOOL_SCHEMAS).collect()}
+    assert got == {"i": None, "a": None, "b": None, "d": None, "o": 0, "p": 1, "q": 2}
 
 
 def test_pipeline_stages_keep_the_columns(spark):
