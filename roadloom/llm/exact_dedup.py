@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.operators.graph import split_join
 from roadloom.session import checkpointed
 
 #: Chunks have at least MIN and at most MAX characters, but for the last one of a text.
@@ -78,10 +79,11 @@ def exact_dedup(docs: DataFrame, chunk_id=default_id) -> DataFrame:
     rows = chunk_recipes(docs, chunk_id)
     # Length and hash in front make the join compare whole recipes only for likely equals.
     keyed = rows.withColumn("h", F.xxhash64("recipe"))
-    groups = keyed.groupBy("h", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    return keyed.join(groups, ["h", "recipe"]).select(
-        "doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256"
-    )
+    groups = keyed.groupBy("h", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
+    both = split_join(keyed, groups, ["h", "recipe"], "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    both = both.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), "text_sha256")
+    return both.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
