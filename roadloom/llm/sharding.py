@@ -29,7 +29,10 @@ def shuffled_shards(docs: DataFrame, shards: int = 40, seed: int = 20, bucket_by
     counts = docs.select("doc_id", "text").select(key.alias("key")).select(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(buckets)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
     # One row per bucket, each of some megabytes of text: a bounded fraction of the corpus in one sorted window.
     before = counts.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
-    scattered = rows.repartition(max(1, buckets // BUCKETS_PER_PARTITION), "bucket").groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "doc_id", "text", "size"))).alias("own"))
+    # F.shuffle draws from one generator for a whole partition: a task that is run again must meet its buckets in the
+    # same order, or it would deal rows anew that others have read.
+    dealt = rows.repartition(max(1, buckets // BUCKETS_PER_PARTITION), "bucket").sortWithinPartitions("bucket")
+    scattered = dealt.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("key", "doc_id", "text", "size"))).alias("own"))
     placed = scattered.join(before, "bucket").select("before", F.shuffle("own", seed).alias("own"))
     out = placed.select("before", F.posexplode("own").alias("at", "r"))
     p = F.col("before") + F.col("at")
