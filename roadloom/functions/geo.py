@@ -100,3 +100,92 @@ def midpoint(line: Column) -> Column:
         ),
     )
     return F.struct(walked["x"].alias("x"), walked["y"].alias("y"))
+
+
+def clipped_length(x1: Column, y1: Column, x2: Column, y2: Column, ring: Column) -> Column:
+    """Length of the part of a straight line inside a ring: cut at all crossings, pieces kept by their middle."""
+    dx, dy = x2 - x1, y2 - y1
+
+    def crossing(s: Column) -> Column:
+        ex, ey = s["x2"] - s["x1"], s["y2"] - s["y1"]
+        det = dx * ey - dy * ex
+        t = F.try_divide((s["x1"] - x1) * ey - (s["y1"] - y1) * ex, det)
+        u = F.try_divide((s["x1"] - x1) * dy - (s["y1"] - y1) * dx, det)
+        return F.when(t.between(0, 1) & u.between(0, 1), t)
+
+    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(segments(ring), crossing), lambda t: t.isNotNull())))
+    pairs = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    mid = lambda p: (p["a"] + p["b"]) / 2
+    kept = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.when(in_ring(x1 + mid(p) * dx, y1 + mid(p) * dy, ring), p["b"] - p["a"]).otherwise(0.0))
+    return kept * hypot(dx, dy)
+
+
+def far_ends(points: Column) -> Column:
+    """struct<d, x1, y1, x2, y2> of the two points farthest apart; of equal distances the largest coordinates."""
+    pairs = F.flatten(F.transform(points, lambda a: F.transform(points, lambda b: F.struct(hypot(a["x"] - b["x"], a["y"] - b["y"]).alias("d"), a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")))))
+    return F.array_max(pairs)
+
+
+def join_lines(first: Column, second: Column, at: Column) -> Column:
+    """Two lines that meet near ``at`` as one: the first turned to end there, the second to start there."""
+    far = lambda p: hypot(p["x"] - at["x"], p["y"] - at["y"])
+    a = F.when(far(F.element_at(first, -1)) <= far(F.element_at(first, 1)), first).otherwise(F.reverse(first))
+    b = F.when(far(F.element_at(second, 1)) <= far(F.element_at(second, -1)), second).otherwise(F.reverse(second))
+    return F.concat(a, F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0))))
+
+
+#: Semi-major axis and inverse flattening of GRS 80, scale on the central meridian.
+AXIS_M, FLATTENING, SCALE = 6378137.0, 1 / 298.257222101, 0.9999
+
+
+def _series() -> tuple[float, list[float], list[float], float]:
+    n = FLATTENING / (2 - FLATTENING)
+    to = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280]
+    back = [n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280]
+    return n, to, back, SCALE * AXIS_M / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+
+
+def _conformal(phi: Column, n: float) -> Column:
+    """Sine of an angle to the tangent of the conformal latitude."""
+    e = 2 * math.sqrt(n) / (1 + n)
+    return F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
+
+
+def project(lon: Column, lat: Column, lon0: float, lat0: float) -> tuple[Column, Column]:
+    """(east, north) metres of the transverse Mercator plane about (lon0, lat0), by the fourth-order series."""
+    n, to, _, radius = _series()
+    phi0 = math.radians(lat0)
+    e = 2 * math.sqrt(n) / (1 + n)
+    xi0 = math.atan(math.sinh(math.atanh(math.sin(phi0)) - e * math.atanh(e * math.sin(phi0))))
+    origin = radius * (xi0 + sum(a * math.sin(2 * k * xi0) for k, a in enumerate(to, 1)))
+    tau, lam = _conformal(F.radians(lat), n), F.radians(lon - lon0)
+    xi = F.atan2(tau, F.cos(lam))
+    eta = F.asinh(F.sin(lam) / hypot(tau, F.cos(lam)))
+    north, east = xi, eta
+    for k, a in enumerate(to, 1):
+        north = north + a * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        east = east + a * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+    return east * radius, north * radius - origin
+
+
+def unproject(x: Column, y: Column, lon0: float, lat0: float) -> tuple[Column, Column]:
+    """(lon, lat) of plane metres; the inverse of ``project``."""
+    n, to, back, radius = _series()
+    phi0 = math.radians(lat0)
+    e = 2 * math.sqrt(n) / (1 + n)
+    xi0 = math.atan(math.sinh(math.atanh(math.sin(phi0)) - e * math.atanh(e * math.sin(phi0))))
+    origin = radius * (xi0 + sum(a * math.sin(2 * k * xi0) for k, a in enumerate(to, 1)))
+    xi, eta = (y + origin) / radius, x / radius
+    xi1, eta1 = xi, eta
+    for k, b in enumerate(back, 1):
+        xi1 = xi1 - b * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        eta1 = eta1 - b * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
+    lam = F.atan2(F.sinh(eta1), F.cos(xi1))
+    target = F.sin(xi1) / hypot(F.sinh(eta1), F.cos(xi1))
+    tau = target
+    for _ in range(3):  # Newton steps of the conformal latitude
+        own = tau / F.sqrt(1 + tau * tau)
+        sigma = F.sinh(e * F.atanh(e * own))
+        mapped = tau * F.sqrt(1 + sigma * sigma) - sigma * F.sqrt(1 + tau * tau)
+        tau = tau + (target - mapped) / F.sqrt(1 + mapped * mapped) * (1 + (1 - e * e) * tau * tau) / ((1 - e * e) * F.sqrt(1 + tau * tau))
+    return F.degrees(lam) + lon0, F.degrees(F.atan(tau))

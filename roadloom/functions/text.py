@@ -66,3 +66,30 @@ def composite_key(*parts: Column) -> Column:
     for p in own[1:]:
         missing = missing | p.isNull()
     return F.when(~missing, F.concat_ws("-", *own))
+
+
+#: Fixed value: what follows a numeral that is a number and not a part of a name.
+COUNTERS = "丁目|条|線|号|番|地割"
+
+
+def town_key(name: Column) -> Column:
+    """A town's name to compare by: full-width forms to ASCII, numerals before a counter to digits, parts in brackets and
+    white space away, small ke and ka written large."""
+    mark = "\x01"
+    plain = F.translate(name, WIDE + "\u3000", NARROW + " ")
+    parts = F.split(F.regexp_replace(plain, f"([〇{NUMERALS}十]+)(?={COUNTERS})", f"{mark}$1{mark}"), mark)
+
+    def number(run: Column) -> Column:
+        digits = F.translate(run, "〇" + NUMERALS, "0123456789")
+        ten = F.instr(digits, "十")
+        tens = F.when(ten == 1, F.lit(1)).otherwise(F.substring(F.substring_index(digits, "十", 1), -1, 1).try_cast("int"))
+        ones = F.coalesce(F.substring(F.substring_index(digits, "十", -1), -1, 1).try_cast("int"), F.lit(0))
+        return F.when(ten == 0, ones).otherwise(F.when(tens == 0, 1).otherwise(tens) * 10 + ones).cast("string")
+
+    read = F.array_join(F.transform(parts, lambda t, i: F.when(i % 2 == 1, number(t)).otherwise(t)), "")
+    return F.translate(F.regexp_replace(F.regexp_replace(read, "\\(.*?\\)", ""), "\\s+", ""), "ヶヵ", "ケカ")
+
+
+def mesh_of_file(path: Column) -> Column:
+    """The 8-digit mesh code that a file's name starts with, else null."""
+    return F.nullif(F.regexp_extract(F.substring_index(path, "/", -1), "^([0-9]{8})_", 1), F.lit(""))

@@ -77,3 +77,13 @@ def best_match(matches: DataFrame, cover_min: float = 0.5) -> DataFrame:
     best = matches.groupBy("link_id").agg(F.min(F.struct((-F.col("cover")).alias("c"), F.col("reg_id"), F.col("dots"), F.col("len"))).alias("b"))
     good = best.where(-F.col("b.c") >= cover_min * F.col("b.len"))
     return good.select("link_id", F.col("b.reg_id").alias("reg_id"), F.when(F.col("b.dots") > 0, 1).otherwise(-1).alias("sign"))
+
+
+def near_line_pairs(points: DataFrame, lines: DataFrame, tol: float, size: float) -> DataFrame:
+    """Rows of points (pid, px, py, ...) with rows of straight lines (lid, x1, y1, x2, y2, ...) at most ``tol`` away, and
+    ``dist``. A line goes to all cells of side ``size`` that its box, wider by ``tol``, touches; a point to its own."""
+    span = lambda a, b: F.sequence(cell(F.least(a, b) - tol, size), cell(F.greatest(a, b) + tol, size))
+    spread = lines.withColumn("cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"))))
+    own = points.withColumn("cx", cell(F.col("px"), size)).withColumn("cy", cell(F.col("py"), size))
+    d = point_segment_distance(*(F.col(c).cast("double") for c in ("px", "py", "x1", "y1", "x2", "y2")))
+    return own.join(spread, ["cx", "cy"]).withColumn("dist", d).where(F.col("dist") <= tol).drop("cx", "cy")
