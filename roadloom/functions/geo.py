@@ -180,12 +180,9 @@ def unproject(x: Column, y: Column, lon0: float, lat0: float) -> tuple[Column, C
     for k, b in enumerate(back, 1):
         xi1 = xi1 - b * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
         eta1 = eta1 - b * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
-    lam = F.atan2(F.sinh(eta1), F.cos(xi1))
-    target = F.sin(xi1) / hypot(F.sinh(eta1), F.cos(xi1))
-    tau = target
-    for _ in range(3):  # Newton steps of the conformal latitude
-        own = tau / F.sqrt(1 + tau * tau)
-        sigma = F.sinh(e * F.atanh(e * own))
-        mapped = tau * F.sqrt(1 + sigma * sigma) - sigma * F.sqrt(1 + tau * tau)
-        tau = tau + (target - mapped) / F.sqrt(1 + mapped * mapped) * (1 + (1 - e * e) * tau * tau) / ((1 - e * e) * F.sqrt(1 + tau * tau))
-    return F.degrees(lam) + lon0, F.degrees(F.atan(tau))
+    chi = F.asin(F.sin(xi1) / F.cosh(eta1))
+    lift = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    phi = chi
+    for k, d in enumerate(lift, 1):
+        phi = phi + d * F.sin(2 * k * chi)
+    return F.degrees(F.atan2(F.sinh(eta1), F.cos(xi1))) + lon0, F.degrees(phi)
