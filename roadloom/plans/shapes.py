@@ -13,8 +13,8 @@ from roadloom.functions.stats import dec
 from roadloom.operators import spatial_join as S
 from roadloom.plans.geometry import _IN_SQL, _RING_DIST, _ring_column
 from roadloom.plans.joins import _MATCH_SQL, _seg
-from roadloom.plans.network import _EDGES_SQL, edges
-from roadloom.plans.regions import REGION, gates
+from roadloom.plans.network import _EDGES_SQL, _TURN_SQL, edges
+from roadloom.plans.regions import REGION, gates, j21_has_right_turn
 from roadloom.plans.registry import query
 from roadloom.plans.validation import dec_sql
 from roadloom.sources.fixtures import table, view
@@ -220,3 +220,50 @@ def j23_sub_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = G.clipped_length(*doubles("x1", "y1", "x2", "y2"), _box(*[float(v) for v in REGION])) > 0
     listed = links.where("link_id % 101 = 7").select("link_id")
     return links.where(inside).select("link_id").union(listed).distinct()
+
+
+_SPLIT_M = 30.0
+
+
+@query(f"""with {_TURN_SQL}, t as (select distinct eid from pd where d >= 45 and d <= 135), e as (select eid, x1, y1, x2, y2, sqrt(cast((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) as double)) as len, eid in (select eid from t) as turns from edges),
+c as (select *, case when turns and len > {2 * _SPLIT_M} then (len - {_SPLIT_M}) / len end as cut_at from e)
+select eid, 0 as piece, {dec_sql('x1')} as xa, {dec_sql('y1')} as ya, {dec_sql('x1 + coalesce(cut_at, 1.0) * (x2 - x1)')} as xb, {dec_sql('y1 + coalesce(cut_at, 1.0) * (y2 - y1)')} as yb from c
+union all select eid, 1, {dec_sql('x1 + cut_at * (x2 - x1)')}, {dec_sql('y1 + cut_at * (y2 - y1)')}, {dec_sql('x2')}, {dec_sql('y2')} from c where cut_at is not null""")
+def j21_right_turn_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges with a right turn cut a fixed way before their end, where they are long enough; the others stay whole."""
+    turns = j21_has_right_turn(spark, sf_dir)
+    x1, y1, x2, y2 = doubles("x1", "y1", "x2", "y2")
+    length = G.hypot(x2 - x1, y2 - y1)
+    cut = F.when(F.col("has_right_turn") & (length > 2 * _SPLIT_M), (length - _SPLIT_M) / length)
+    rows = edges(spark, sf_dir).join(turns, "eid").withColumn("at", cut)
+    whole = F.coalesce("at", F.lit(1.0))
+    mx, my = x1 + whole * (x2 - x1), y1 + whole * (y2 - y1)
+    piece = lambda k, xa, ya, xb, yb: F.struct(F.lit(k).alias("piece"), dec(xa).alias("xa"), dec(ya).alias("ya"), dec(xb).alias("xb"), dec(yb).alias("yb"))
+    first, second = piece(0, x1, y1, mx, my), piece(1, mx, my, x2, y2)
+    return rows.select("eid", F.explode(F.when(F.col("at").isNotNull(), F.array(first, second)).otherwise(F.array(first))).alias("p")).select("eid", "p.*")
+
+
+@query(f"""with a as (select {_pick_sql(_KEYS, 'c_custkey % 6')} as town, c_nationkey as jobs from customer where cast(c_custkey as varchar) like '1%'), b as (select distinct {_pick_sql(_KEYS, 's_suppkey % 6')} as town from supplier where s_suppkey % 6 < 4)
+select a.town, count(*) as areas, cast(sum(jobs) as bigint) as jobs, b.town is not null as placed from a left join b on a.town = b.town group by a.town, b.town""")
+def k03_jobs_by_town(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of the areas whose code starts with a prefix, by normalised town, and whether a boundary of that name exists.
+
+    Rows are added up by their raw name first, so each name is normalised once for each task.
+    """
+    rows = table(spark, sf_dir, "customer").where(F.col("c_custkey").cast("string").startswith("1"))
+    raw = rows.groupBy(F.expr(_pick_sql(_TOWNS, "c_custkey % 6")).alias("raw")).agg(F.count("*").alias("n"), F.sum("c_nationkey").alias("j"))
+    towns = raw.groupBy(T.town_key(F.col("raw")).alias("town")).agg(F.sum("n").alias("areas"), F.sum("j").alias("jobs"))
+    bounds = table(spark, sf_dir, "supplier").where("s_suppkey % 6 < 4").select(T.town_key(F.expr(_pick_sql(_TOWNS, "s_suppkey % 6"))).alias("town"), F.lit(True).alias("hit")).distinct()
+    return towns.join(bounds, "town", "left").select("town", "areas", "jobs", F.coalesce("hit", F.lit(False)).alias("placed"))
+
+
+@query(f"""with l as (select link_id, (x2 - x1) * {_C!r} + (y2 - y1) * {_S!r} as du, (y2 - y1) * {_C!r} - (x2 - x1) * {_S!r} as dv, (x1 + x2) / 2.0 * {_C!r} + (y1 + y2) / 2.0 * {_S!r} as mu, (y1 + y2) / 2.0 * {_C!r} - (x1 + x2) / 2.0 * {_S!r} as mv from fx_links)
+select link_id, case when abs(du) >= abs(dv) then 'EW' else 'NS' end as axis, {dec_sql('case when abs(du) >= abs(dv) then mv else mu end')} as cross_m, {dec_sql('degrees(atan2(least(abs(du), abs(dv)), greatest(abs(du), abs(dv))))')} as off_deg from l""")
+def c19_link_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A link's axis in the turned grid, its ordinate across that axis, and the angle that it is off."""
+    x1, y1, x2, y2 = doubles("x1", "y1", "x2", "y2")
+    du, dv = G.to_grid(x2 - x1, y2 - y1, _DEG, 0.0, 0.0)
+    mu, mv = G.to_grid((x1 + x2) / 2, (y1 + y2) / 2, _DEG, 0.0, 0.0)
+    flat = F.abs(du) >= F.abs(dv)
+    off = F.degrees(F.atan2(F.least(F.abs(du), F.abs(dv)), F.greatest(F.abs(du), F.abs(dv))))
+    return view(spark, sf_dir, "fx_links").select("link_id", F.when(flat, "EW").otherwise("NS").alias("axis"), dec(F.when(flat, mv).otherwise(mu)).alias("cross_m"), dec(off).alias("off_deg"))

@@ -10,7 +10,7 @@ from roadloom.functions.geo import point
 _TAGS = "map<string,string>"
 _ELEMENTS = f"elements array<struct<type: string, id: bigint, tags: {_TAGS}, geometry: array<struct<lon: double, lat: double>>>>"
 #: Ways that carry no vehicles.
-FOOT_WAYS = ("footway", "path", "pedestrian", "steps", "cycleway")
+FOOT_WAYS = ("footway", "path", "cycleway", "steps", "pedestrian")
 
 
 def read_ways(spark: SparkSession, path: str) -> DataFrame:
