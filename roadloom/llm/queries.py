@@ -54,20 +54,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Calls and results in ``conversations``: each assistant turn is a call whose arguments come from its text and which
-    depends on the calls two and, for a third of them, four turns before; the user turn after it is its result."""
+    """Calls and results in ``conversations``: each assistant turn is a call whose arguments hold its whole text and which
+    depends on the calls two and, for a third of them, four turns before; the user turn after it is its result. The other
+    turns (system, opening user turns) are results that no call asked for, named by role, conversation and turn. Arguments
+    of one call in 17 lack their closing brace, so that they are no JSON; their text is whole too."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    name = lambda turn: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
-    code = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
-    query = F.substring_index(F.coalesce("text", F.lit("")), ".", 1)
-    body = F.to_json(F.struct(query.alias("query"), (code % 50).alias("limit"), F.when(code % 4 == 1, F.element_at(F.array(F.lit("text"), F.lit("html"), F.lit("pdf")), (code % 3 + 1).cast("int"))).alias("mode")))
+    named = lambda kind, turn: F.concat(kind, F.lit("_"), F.col("conv_id").cast("string"), F.lit("_"), turn.cast("string"))
+    name = lambda turn: named(F.lit("call"), turn)
+    text = F.coalesce("text", F.lit(""))
+    code = F.crc32(text.cast("binary"))
+    body = F.to_json(F.struct(text.alias("query"), (code % 50).alias("limit"), F.when(code % 4 == 1, F.element_at(F.array(F.lit("text"), F.lit("html"), F.lit("pdf")), (code % 3 + 1).cast("int"))).alias("mode")))
     before = F.array_compact(F.array(F.when(F.col("turn") >= 3, name(F.col("turn") - 2)), F.when((F.col("turn") >= 5) & (code % 3 == 0), name(F.col("turn") - 4))))
     calls = turns.where("role = 'assistant'").select(
         "conv_id", name(F.col("turn")).alias("call_id"), F.element_at(F.array(*[F.lit(x) for x in ("search", "fetch", "count", "paint")]), (code % 4 + 1).cast("int")).alias("name"),
-        F.when(code % 17 == 0, F.substring_index(body, ",", 1)).otherwise(body).alias("arguments"),
+        F.when(code % 17 == 0, F.left(body, F.length(body) - 1)).otherwise(body).alias("arguments"),
         before.alias("depends_on"),
     )
-    results = turns.where("role = 'user' and turn >= 2").select(name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    answer = F.when(F.expr("role = 'user' and turn >= 2"), name(F.col("turn") - 1)).otherwise(named(F.coalesce("role", F.lit("turn")), F.col("turn")))
+    results = turns.where("role is distinct from 'assistant'").select(answer.alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 

@@ -124,8 +124,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: Mapping[str,
             rows.append((not errors, "; ".join(errors), canonical({"id": i, "name": n, "arguments": parsed, "result": c})))
         return pd.DataFrame(rows, columns=["valid", "errors", "json"])
 
+    # Before the join with results: orphans have no call id, and all of them would meet in one task.
+    own = own.join(lost, F.col("call_id") == F.col("_id"), "left").join(level, F.col("call_id") == F.col("_id2"), "left")
     both = own.join(got.withColumnRenamed("call_id", "r_id"), F.col("call_id") == F.col("r_id"), "full")
-    both = both.join(lost, F.col("call_id") == F.col("_id"), "left").join(level, F.col("call_id") == F.col("_id2"), "left")
     is_call = F.col("n_calls").isNotNull()
     both = both.withColumn("id", F.coalesce("call_id", "r_id")).withColumn("j", judge("id", F.col("c.name"), F.col("c.arguments"), "content", is_call))
     status = F.when(F.col("id").isNull(), "no_id").when(~is_call, "orphan").when(F.col("n_results").isNull(), "pending").otherwise("linked")

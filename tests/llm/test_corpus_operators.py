@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import zlib
 from collections import Counter, defaultdict
 
@@ -304,6 +305,25 @@ def test_tool_calls(spark):
     assert got == {"i": None, "a": None, "b": None, "d": None, "o": 0, "p": 1, "q": 2}
 
 
+def test_every_turn_of_a_conversation_goes_through_op3_whole(spark, tmp_path):
+    turns = [(1, 0, "system", "Be short. Be kind."), (1, 1, "user", "Hi, you. Go on."), (1, 2, "assistant", "First, this. Then \"that\", é."), (1, 3, "user", "Thanks. More?"), (2, 0, "user", "Only. One."), (3, 0, None, "No. Role."), (4, 1, "assistant", None)]
+    turns += [(5, t, "assistant", f"Part one, {t}. Part two, {t}.") for t in range(1, 80, 2)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    rows = Q.op3_tool_calls(spark, str(tmp_path)).collect()
+    held = Counter()
+    for r in rows:
+        found = json.loads(r["json"])
+        if r["n_calls"]:
+            arguments = found["arguments"]
+            assert isinstance(arguments, dict) or r["errors"] == "no JSON"
+            held[(arguments if isinstance(arguments, dict) else json.loads(arguments + "}"))["query"]] += 1
+        if r["n_results"]:
+            held[found["result"]] += 1
+    assert held == Counter(t or "" for *_, t in turns)
+    assert {"no JSON"} < {r["errors"] for r in rows}
+    assert {r["call_id"]: r["status"] for r in rows if not r["n_calls"]} == {"system_1_0": "orphan", "user_1_1": "orphan", "user_2_0": "orphan", "turn_3_0": "orphan"}
+
+
 def test_pipeline_stages_keep_the_columns(spark):
     import corpus_pipeline
 
