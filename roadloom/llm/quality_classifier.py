@@ -21,6 +21,9 @@ from roadloom.session import checkpointed
 #: Rows of the two samples, and the score from which a document counts as good.
 MAX_POSITIVES, MAX_UNLABELLED, THRESHOLD = 2048, 4096, 0.7
 
+#: Word variety is counted in consecutive windows of this many words, so that it does not fall with length.
+WINDOW = 1000
+
 # Eight classes of bytes: letters and bytes of longer characters 0, capitals 1, digits 2, white space 3, sentence marks 4,
 # exclamation and question marks 5, symbols 6, the rest 7.
 _CLASS = np.full(256, 7, np.uint8)
@@ -30,7 +33,8 @@ N_FEATURES = 512 + 5
 
 
 def features(text: str | None) -> np.ndarray:
-    """Square roots of the shares of the 512 shape trigrams, then repeats of words, lines and word variety."""
+    """Square roots of the shares of the 512 shape trigrams, then repeats of words, lines and word variety: the
+    share of distinct words in each window of the text, the last one included, weighted by the words in it."""
     out = np.zeros(N_FEATURES, np.float32)
     raw = (text or "").encode("utf-8", "replace")
     shape = _CLASS[np.frombuffer(raw, np.uint8)].astype(np.int16)
@@ -44,7 +48,7 @@ def features(text: str | None) -> np.ndarray:
         out[512] = repeated_words(words) / n
         out[513] = 1 - len(set(lines)) / len(lines)
         out[514] = min(3.0, (len(raw) / n) / 10)
-        out[515] = len(set(words[:1000])) / min(n, 1000) if n else 0
+        out[515] = sum(len(set(words[i : i + WINDOW])) for i in range(0, n, WINDOW)) / n
         out[516] = min(1.0, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n * 4)
     return out
 

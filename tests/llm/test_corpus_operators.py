@@ -16,7 +16,7 @@ from roadloom.llm import exact_dedup as ED
 from roadloom.llm import queries as Q
 from roadloom.llm.line_dedup import line_dedup
 from roadloom.llm.packing import best_fit_packing, default_tokenizer_path, pieces_of
-from roadloom.llm.quality_classifier import quality_scores
+from roadloom.llm.quality_classifier import features, quality_scores
 from roadloom.llm.quality_rules import default_rules, drop_rejected, first_rejection, order_rules, quality_rules, with_stats
 from roadloom.llm.sentencepiece_fst import Transducer, decode_documents, default_model_path, encode_documents
 from roadloom.llm.sharding import shuffled_shards, write_shards
@@ -240,6 +240,16 @@ def test_classifier_on_held_out_labels(spark, docs, empty):
     assert quality_scores(docs, few.limit(0), Q.held_out()).count() == len(fixture_rows())
 
 
+def test_word_variety_covers_the_whole_text():
+    fresh = [f"w{i}" for i in range(1000)]
+    variety = lambda words: float(features(" ".join(words))[515])
+    assert variety(fresh) == 1 and variety(fresh[:7] * 2) == 0.5
+    assert variety(fresh + ["junk"] * 1500) == pytest.approx(1002 / 2500)
+    assert variety(fresh + [f"v{i}" for i in range(1500)]) == 1 and variety(fresh + ["tail"]) == 1
+    half = fresh[:500] * 2
+    assert variety(half * 3) == variety(half)
+
+
 def test_url_rules_and_model(spark):
     urls = [None, "", "no scheme", "http://A.Example.COM/en/5?x#y", "https://example.com/en/70", "http://x.net/de/8", "http://m.example.net/de/81", "http://notnet/de/8", "ftp://org?q", "http://a.org/es/1", "a://b://c/d", "http://a.org/es/1"]
     pages = spark.createDataFrame([(i, u, "en") for i, u in enumerate(urls)], "page_id long, url string, verdict string")
