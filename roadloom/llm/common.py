@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The word separators of the contracts, as bytes and as a Java character class.
@@ -14,3 +14,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
+
+
+def text_sha256(text: str = "text") -> Column:
+    """Null and empty texts have the same hash."""
+    return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows that have the doc_id, null or not, and the text of a row of ``gone`` (doc_id, text_sha256).
+
+    An id alone does not name a row: null or repeated ids may stand beside other texts.
+    """
+    keys = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_text")).distinct()
+    own = docs.withColumn("_text", text_sha256())
+    return own.join(keys, (own["_text"] == keys["_gone_text"]) & own["doc_id"].eqNullSafe(keys["_gone_id"]), "left_anti").drop("_text")

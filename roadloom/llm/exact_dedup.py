@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.llm.common import without_rows
 from roadloom.operators.graph import split_join
 from roadloom.session import checkpointed
 
@@ -88,5 +89,4 @@ def exact_dedup(docs: DataFrame, chunk_id=default_id) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; all columns as they were."""
-    gone = exact_dedup(docs).where("not kept").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    return without_rows(docs, exact_dedup(docs).where("not kept"))

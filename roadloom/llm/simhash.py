@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.llm.common import text_sha256, without_rows
 from roadloom.operators.graph import connected_components, split_join
 from roadloom.session import checkpointed
 
@@ -45,15 +46,15 @@ def simhash64(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with the fingerprint as a signed long."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, text_sha256, fp) with the fingerprint as a signed long."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_sha256", pa.string()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = np.array([simhash64(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(values)], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(2).cast(pa.string()), pa.array(values)], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text", text_sha256().alias("text_sha256")).mapInArrow(run, "doc_id long, text_sha256 string, fp long")
 
 
 class _Union:
@@ -222,6 +223,11 @@ def near_dedup(docs: DataFrame, budget: int = 3, place_rows: int = PLACE_ROWS) -
     adaptive execution can split, so a group of copies of any size costs a row per task. Null doc_ids are never a
     component's name; a component of null doc_ids only has a null name. No rows: no rows.
     """
+    return _judged(docs, budget, place_rows).drop("text_sha256")
+
+
+def _judged(docs: DataFrame, budget: int = 3, place_rows: int = PLACE_ROWS) -> DataFrame:
+    """``near_dedup`` with the text_sha256 of each row."""
     if budget >= BLOCKS:
         raise ValueError("four blocks find pairs of at most 3 differing bits")
     rows = checkpointed(fingerprints(docs))
@@ -231,11 +237,10 @@ def near_dedup(docs: DataFrame, budget: int = 3, place_rows: int = PLACE_ROWS) -
     lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
     ids = split_join(named, lows, ["component"]).select("fp", "component_id")
     return rows.join(ids, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.expr("doc_id <=> component_id").alias("kept")
+        "doc_id", "text_sha256", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.expr("doc_id <=> component_id").alias("kept")
     )
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component; all columns as they were."""
-    gone = near_dedup(docs).where("not kept").select(F.col("doc_id").alias("_gone_id"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]), "left_anti")
+    return without_rows(docs, _judged(docs).where("not kept"))

@@ -20,7 +20,7 @@ from roadloom.llm.quality_classifier import features, quality_scores
 from roadloom.llm.quality_rules import default_rules, drop_rejected, first_rejection, order_rules, quality_rules, with_stats
 from roadloom.llm.sentencepiece_fst import Transducer, decode_documents, default_model_path, encode_documents
 from roadloom.llm.sharding import shuffled_shards, write_shards
-from roadloom.llm.simhash import near_dedup, simhash64, trie_self_join
+from roadloom.llm.simhash import drop_near_copies, near_dedup, simhash64, trie_self_join
 from roadloom.llm.tool_calls import link_tool_calls
 from roadloom.llm.url_filter import UrlRule, rule_labelled, url_filter
 
@@ -75,6 +75,18 @@ def test_exact_dedup_matches_brute_force(docs, empty):
     assert set(ED.drop_copies(docs).columns) == set(docs.columns)
 
 
+def test_stages_drop_rows_and_not_ids(spark):
+    copy, other, lone = prose(1, 120), prose(2, 130), prose(4, 140)
+    near = prose(5, 900)
+    rows = [(1, copy), (2, copy), (None, copy), (None, lone), (1, other)]
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "clash", 7) for i, t in rows], SCHEMA).repartition(3)
+    held = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    assert held(ED.drop_copies(frame(rows))) == Counter([(2, copy), (None, lone), (1, other)])
+    rows = [(1, near), (None, near), (5, near + " tail"), (None, lone), (5, other)]
+    assert (simhash64(near) ^ simhash64(near + " tail")).bit_count() <= 3
+    assert held(drop_near_copies(frame(rows))) == Counter([(1, near), (None, lone), (5, other)])
+
+
 def test_chunks_cover_the_text_and_colliding_hashes_are_told_apart(docs):
     rows = docs.select(F.coalesce("text", F.lit("")).alias("t"), ED.chunks_of(F.coalesce("text", F.lit(""))).alias("c")).collect()
     assert all("".join(r["c"]) == r["t"] and all(len(x) <= ED.MAX_CHARS for x in r["c"]) for r in rows)
