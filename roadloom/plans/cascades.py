@@ -10,7 +10,7 @@ from roadloom.functions.stats import dec
 from roadloom.operators.graph import connected_components
 from roadloom.operators.reach import cap_hops
 from roadloom.operators.spatial_join import around, cell, distance_pairs
-from roadloom.plans.network import _CC_SQL, _EDGES_SQL, _sub_links, edges
+from roadloom.plans.network import _CC_SQL, _EDGES_SQL, _sub_links, all_links, edges
 from roadloom.plans.regions import REGION, inside, k02_zones
 from roadloom.plans.registry import _SQL, query
 from roadloom.plans.shapes import doubles
@@ -209,14 +209,24 @@ deg as (select nid, count(*) as degree from (select unnest([a, b]) as nid from l
 select count(*) as nodes, count(case when is_main then 1 end) as main_nodes, (select count(*) from size) as components, count(case when not is_in or near then 1 end) as boundary, coalesce(bool_and(is_main) filter (not is_in or near), true) as boundary_in_main, count(case when is_in and not near and degree = 1 then 1 end) as dead_ends from n join deg using (nid)""")
 def j09_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes, boundary nodes (outside or near the border), whether all of these are in the main component, dead ends inside."""
-    links = _sub_links(spark, sf_dir)
+    return acceptance(_sub_links(spark, sf_dir), view(spark, sf_dir, "fx_nodes"))
+
+
+@query(None)
+def j09_whole_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of ``j09_acceptance`` over all links."""
+    return acceptance(all_links(spark, sf_dir), view(spark, sf_dir, "fx_nodes"))
+
+
+def acceptance(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row of figures of ``links`` (src, dst) whose ends are placed by ``nodes`` (nid, x, y)."""
     comp = connected_components(links)
     size = comp.groupBy("component").agg(F.count("*").alias("size"))
     top = size.agg(F.max(F.struct("size", (-F.col("component")).alias("c"))).alias("t"), F.count("*").alias("components")).select((-F.col("t.c")).alias("top"), "components")
     degree = links.select(F.explode(F.array("src", "dst")).alias("nid")).groupBy("nid").agg(F.count("*").alias("degree"))
     x, y = F.col("x"), F.col("y")
     near = (x <= REGION[0] + BORDER_M) | (x >= REGION[2] - BORDER_M) | (y <= REGION[1] + BORDER_M) | (y >= REGION[3] - BORDER_M)
-    rows = comp.withColumnRenamed("node", "nid").join(view(spark, sf_dir, "fx_nodes").select("nid", "x", "y"), "nid").join(degree, "nid").crossJoin(F.broadcast(top))
+    rows = comp.withColumnRenamed("node", "nid").join(nodes.select("nid", "x", "y"), "nid").join(degree, "nid").crossJoin(F.broadcast(top))
     rows = rows.select("components", "degree", (F.col("component") == F.col("top")).alias("is_main"), (~inside(x, y) | near).alias("edge"))
     return rows.agg(
         F.count("*").alias("nodes"), F.count(F.when(F.col("is_main"), 1)).alias("main_nodes"), F.coalesce(F.max("components"), F.lit(0)).alias("components"), F.count(F.when(F.col("edge"), 1)).alias("boundary"),

@@ -121,8 +121,23 @@ def _sub_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with recursive {_CC_SQL}, size as (select component, count(*) as size from comp group by 1)
 select nid, component, size, component = (select arg_min(component, (-size, component)) from size) as is_main from comp join size using (component)""")
 def j08_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of a thinned network and whether each is the largest; tested against a union-find."""
-    comp = connected_components(_sub_links(spark, sf_dir))
+    """Components of a thinned network, as the SQL has it, and whether each is the largest; ``j08_whole_components`` has all links."""
+    return sized_components(_sub_links(spark, sf_dir))
+
+
+@query(None)
+def j08_whole_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all links and whether each is the largest; tested against a union-find."""
+    return sized_components(all_links(spark, sf_dir))
+
+
+def all_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "fx_links").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def sized_components(links: DataFrame) -> DataFrame:
+    """(nid, component, size, is_main) of each node of ``links`` (src, dst); of the largest the smallest name is the main one."""
+    comp = connected_components(links)
     size = comp.groupBy("component").agg(F.count("*").alias("size"))
     top = size.agg(F.max(F.struct("size", (-F.col("component")).alias("c"))).alias("t")).select((-F.col("t.c")).alias("top"))
     return comp.join(size, "component").join(F.broadcast(top)).select(F.col("node").alias("nid"), "component", "size", (F.col("component") == F.col("top")).alias("is_main"))

@@ -11,6 +11,7 @@ from roadloom.functions.stats import fit_from_sums, geh, sums
 from roadloom.operators import network as N
 from roadloom.operators import spatial_join as S
 from roadloom.operators.graph import connected_components
+from roadloom.plans import cascades, network, registry
 
 
 def one(spark, *columns):
@@ -89,3 +90,23 @@ def test_polygon_and_angles(spark):
     ring = F.array(*[G.point(F.lit(x), F.lit(y)) for x, y in ((0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0), (0.0, 0.0))])
     row = one(spark, G.in_ring(F.lit(5.0), F.lit(5.0), ring).alias("a"), G.in_ring(F.lit(15.0), F.lit(5.0), ring).alias("b"), G.ring_area(ring).alias("c"), G.ring_distance(F.lit(5.0), F.lit(12.0), ring).alias("d"), G.angle_diff(F.lit(350.0), F.lit(10.0)).alias("e"), G.undirected_diff(F.lit(179.0), F.lit(1.0)).alias("f"))
     assert tuple(row) == (True, False, 100.0, 2.0, -20.0, 2.0)
+
+
+def test_components_and_acceptance_of_all_links(spark, monkeypatch):
+    links = [(1, 2, 2), (2, 4, 2), (4, 5, 1), (10, 11, 2), (11, 13, 1), (20, 20, 2), (30, 31, 1), (31, 32, 2)]
+    up = {n: n for a, b, _ in links for n in (a, b)}
+
+    def find(n):
+        return n if up[n] == n else find(up[n])
+
+    for a, b, _ in links:
+        low, high = sorted((find(a), find(b)))
+        up[high] = low
+    size = {r: sum(find(n) == r for n in up) for r in up}
+    tables = {"fx_links": spark.createDataFrame(links, "a long, b long, category int"), "fx_nodes": spark.createDataFrame([(n, -1e9, 0.0) for n in up], "nid long, x double, y double")}
+    for module in (network, cascades):
+        monkeypatch.setattr(module, "view", lambda spark, sf_dir, name: tables[name])
+    got = {r["nid"]: (r["component"], r["size"], r["is_main"]) for r in registry.queries()["j08_whole_components"](spark, "").collect()}
+    assert got == {n: (find(n), size[find(n)], find(n) == 1) for n in up}
+    row = registry.queries()["j09_whole_acceptance"](spark, "").first()
+    assert (row["nodes"], row["main_nodes"], row["components"], row["boundary"], row["boundary_in_main"], row["dead_ends"]) == (len(up), 4, 4, len(up), False, 0)
