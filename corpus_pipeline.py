@@ -15,7 +15,7 @@ from roadloom.llm.quality_classifier import drop_low_quality
 from roadloom.llm.quality_rules import drop_rejected
 from roadloom.llm.queries import held_out, table
 from roadloom.llm.simhash import drop_near_copies
-from roadloom.session import ensure_checkpoint_dir
+from roadloom.session import shared_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +57,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read by the next stage."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"

@@ -30,9 +30,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Alternates two star steps until the edge set no longer changes: every node hands its larger neighbours to
     its smallest neighbour, then its smaller ones. All edges end as stars around the smallest node, after a number
-    of rounds that grows with the logarithm of the longest path. Minima are combined before the shuffle, so a hub
-    costs one row per task; the joins back are plain equi-joins that adaptive execution can split. Null ends and
-    self loops are ignored apart from naming their node.
+    of rounds that grows with the logarithm of the longest path. Each round is a table of its own, so rounds cost alike.
+    Minima are combined before the shuffle, so a hub costs one row per task; the joins back are plain equi-joins that
+    adaptive execution can split. Null ends and self loops are ignored apart from naming their node.
     """
     clean = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).where("a is not null and b is not null")
     loops = clean.select(F.col("a").alias("node")).union(clean.select(F.col("b").alias("node"))).distinct()
@@ -49,7 +49,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
             low2.select("u", F.col("m").alias("v"))
         )
-        state = checkpointed(small.distinct())
+        state = checkpointed(small.distinct(), instead_of=state)
         now = _fingerprint(state)
         if now == seen:
             break

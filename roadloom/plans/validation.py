@@ -23,7 +23,7 @@ groups as (
   from fx_obs o left join fx_flow f on f.eid = o.eid and f.hour = o.hour group by 1, 2, 3, 4, 5 having count(f.flow) > 0
 )"""
 GEH_SQL = "case when s + o <= 0 then 0.0 else sqrt(2 * (cast(s as double) - cast(o as double)) * (cast(s as double) - cast(o as double)) / (cast(s as double) + cast(o as double))) end"
-SUMS_SQL = f"count(*) as n, cast(sum(s) as double) as ss, cast(sum(o) as double) as so, cast(sum(s * s) as double) as sss, cast(sum(o * o) as double) as soo, cast(sum(s * o) as double) as sso, sum(case when {GEH_SQL} < 5 then 1 else 0 end) as good"
+SUMS_SQL = f"count(*) as n, cast(sum(s) as double) as ss, cast(sum(o) as double) as so, cast(sum(cast(s as decimal(38,3)) * s) as double) as sss, cast(sum(cast(o as decimal(38,3)) * o) as double) as soo, cast(sum(cast(s as decimal(38,3)) * o) as double) as sso, sum(case when {GEH_SQL} < 5 then 1 else 0 end) as good"
 SPREAD = "(n * sss - ss * ss) * (n * soo - so * so)"
 R = f"case when n >= 2 and {SPREAD} > 0 then (n * sso - ss * so) / sqrt({SPREAD}) end"
 FIT_SQL = f"""{dec_sql(R)} as r, {dec_sql(f"({R}) * ({R})")} as r2, {dec_sql("case when n >= 2 and soo > 0 then sso / soo end")} as slope,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +23,32 @@ def build_session(app: str = "roadloom", cores: str | None = None) -> SparkSessi
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by ``spark.checkpoint.dir``; only where it is unset (tests) make one."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``. Where it is unset, a session in one process (tests, the bench) makes
+    one; on a cluster that is an error, since executors would not share it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there, so that a lost executor costs no lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read from there, so that a lost executor costs no lineage.
+
+    A table that is read has sizes of its own. A checkpointed plan keeps the estimates of the plan behind it, and in a loop
+    of joins these multiply with each round until planning takes longer than the work. ``instead_of`` is an earlier frame
+    of this function that nothing reads any more; its files go, so a loop leaves one table and not one for each round.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/frame-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._frame_path = path
+    old = getattr(instead_of, "_frame_path", None) if instead_of is not None else None
+    if old:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return out
