@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The word separators of the contracts, as bytes and as a Java character class.
@@ -11,6 +11,23 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+#: Rows and bytes of an Arrow batch of texts at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits on Arrow batches to BATCH_ROWS and BATCH_BYTES where they are wider.
+
+    A batch is held by the JVM and by its Python worker at once, and texts of megabytes come in any table; the operators
+    here gain nothing from batches beyond this.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(str(spark.conf.get(key)).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, every other character as it is."""
     return F.translate(text, UPPER, LOWER)
@@ -21,11 +38,15 @@ def text_sha256(text: str = "text") -> Column:
     return F.sha2(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 256)
 
 
-def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows that have the doc_id, null or not, and the text of a row of ``gone`` (doc_id, text_sha256).
+def with_verdicts(docs: DataFrame, judged: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` (doc_id, text_sha256, kept) keeps, all columns as they were.
 
-    An id alone does not name a row: null or repeated ids may stand beside other texts.
+    An id alone does not name a row: null or repeated ids may stand beside other texts, so rows are named by id and text.
+    Of kept rows that agree in both one stays, whichever; they may differ in other columns only.
     """
-    keys = gone.select(F.col("doc_id").alias("_gone_id"), F.col("text_sha256").alias("_gone_text")).distinct()
-    own = docs.withColumn("_text", text_sha256())
-    return own.join(keys, (own["_text"] == keys["_gone_text"]) & own["doc_id"].eqNullSafe(keys["_gone_id"]), "left_anti").drop("_text")
+    found = judged.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
+    found = found.where("not kept or n > 1").select(F.col("doc_id").alias("id"), "text_sha256", F.col("kept").alias("one"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_sha256().alias("sha"))
+    both = own.join(found, (own["sha"] == found["text_sha256"]) & own["row.doc_id"].eqNullSafe(found["id"]), "left").select("row", "sha", "one")
+    once = both.where("one").withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "sha"])
+    return both.where("one is null").select("row.*").union(once.select("row.*"))

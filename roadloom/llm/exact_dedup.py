@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import without_rows
+from roadloom.llm.common import with_verdicts
 from roadloom.operators.graph import split_join
 from roadloom.session import checkpointed
 
@@ -88,5 +88,6 @@ def exact_dedup(docs: DataFrame, chunk_id=default_id) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; all columns as they were."""
-    return without_rows(docs, exact_dedup(docs).where("not kept"))
+    """``docs`` without the rows that ``exact_dedup`` drops, and with one of those that repeat a doc_id, null or not, and
+    its text; all columns as they were."""
+    return with_verdicts(docs, exact_dedup(docs))
