@@ -10,11 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
+from roadloom.llm.common import bound_batches
 from roadloom.llm.text_stats import repeated_words
 from roadloom.session import checkpointed
 
@@ -116,17 +117,20 @@ def fit_nnpu(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int = 600, rat
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, max_positives: int = MAX_POSITIVES, max_unlabelled: int = MAX_UNLABELLED) -> Model:
     """Fit on the rows of smallest hashed doc_id among the positives of ``labels`` (doc_id, quality) and among ``docs``,
-    held-out rows left out of both. The samples are bounded, so what reaches the driver is too. With no positives or no
-    text the model gives every document the score of its prior."""
+    held-out rows left out of both, one text for each id. The samples are bounded, so what reaches the driver is too. With
+    no positives or no text the model gives every document the score of its prior."""
+    bound_batches(docs.sparkSession)
     pos = labels.where(F.col("quality") == 1).where(~held_out).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_positives).withColumn("positive", F.lit(1))
     # The unlabelled rows are picked by another hash, so they are no copy of the positives.
-    unl = docs.where("doc_id is not null").where(~held_out).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_unlabelled).withColumn("positive", F.lit(0))
-    picked = checkpointed(pos.unionByName(unl))
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    unl = docs.where("doc_id is not null").where(~held_out).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_unlabelled).withColumn("positive", F.lit(0))
+    picked = checkpointed(pos.unionByName(unl).distinct())
+    # An id that many rows repeat gives one of its texts, so no id makes the sample grow.
+    every = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    texts = every.groupBy("doc_id", "positive").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
-    @pandas_udf("array<float>")
-    def vector(text: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in text])
+    @arrow_udf("array<float>")
+    def vector(text: pa.Array) -> pa.Array:
+        return pa.array([features(t.as_py()) for t in text], pa.list_(pa.float32()))
 
     rows = texts.select("doc_id", "positive", vector("text").alias("x")).toPandas().sort_values(["positive", "doc_id"])
     if not len(rows) or rows["positive"].nunique() < 2:
@@ -139,9 +143,9 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, max_positives: i
 
 
 def score_udf(model: Model):
-    @pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series([model.score(t) for t in text], dtype="float64")
+    @arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return pa.array([model.score(t.as_py()) for t in text], pa.float64())
 
     return score
 
