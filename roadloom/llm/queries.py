@@ -71,13 +71,13 @@ def conversation_calls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
         before.alias("depends_on"),
     )
     answer = F.when(F.expr("role = 'user' and turn >= 2"), name(F.col("turn") - 1)).otherwise(named(F.coalesce("role", F.lit("turn")), F.col("turn")))
-    results = turns.where("role is distinct from 'assistant'").select(answer.alias("call_id"), F.col("text").alias("content"))
+    results = turns.where("role is distinct from 'assistant'").select("conv_id", answer.alias("call_id"), F.col("text").alias("content"))
     return calls, results
 
 
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = conversation_calls(spark, sf_dir)
-    return link_tool_calls(calls, results, TOOL_SCHEMAS)
+    return link_tool_calls(calls, results, TOOL_SCHEMAS, repeats=True)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
