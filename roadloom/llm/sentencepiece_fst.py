@@ -1,26 +1,48 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
 The model file gives the machines: a normaliser (space to the visible mark, a mark in front), a trie of pieces whose
-arcs end at each piece, byte fallback for characters that no piece has, and for byte-pair models a junction machine
-that lets piece b follow piece a at no cost if the merges of a+b keep that cut, and not at all otherwise. Composed with an
-input they give a lattice; its least-cost path in the tropical semiring is the encoding. For unigram models the arcs carry
-the negated scores and the junction machine lets everything pass.
+arcs end at each piece, byte fallback for characters that no piece has, and a junction machine that weighs piece b after
+piece a. For unigram models arcs cost the negated scores and junctions nothing. For byte-pair models arcs cost nothing and
+a junction costs nothing if the merges of a+b keep that cut, and infinitely much otherwise. Composed with an input they
+give a lattice whose states are places and last pieces; its least-cost path in the tropical semiring (costs add along a
+path, the least path counts) is the encoding, found by settling states in order of cost.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+
+from roadloom.llm.common import bound_batches
 
 MARK = "▁"
-#: Segments that a worker remembers.
-MEMO = 250_000
+#: Words, or junctions, that a worker remembers.
+MEMO = 120_000
+
+
+class Memo(dict):
+    """Remembers what ``make`` gives for at least the last ``limit`` different keys and at most twice as many."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def default_model_path() -> str:
@@ -83,14 +105,33 @@ class Transducer:
         self.width = max(map(len, self.ids), default=1)
         # A mark after another character starts a segment of its own if no piece crosses that place.
         self.cuts = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        # A trie as a set of proper prefixes: where the text leaves it, no longer piece can follow.
-        self.stems = {p[:k] for p in self.ids for k in range(1, len(p))}
-        self.memo, self.parts, self.limit = {}, {}, memo
-        self.junction: dict[tuple, bool] = {}
-        # Two characters that no piece has side by side are a junction that everything passes.
+        #: A node of the trie of pieces has its children by character and, under "", the id that ends there.
+        self.trie: dict = {}
+        for piece, i in self.ids.items():
+            node = self.trie
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = i
+        # Two characters that no piece has side by side are a place that no piece crosses.
         self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        worst = min(scores, default=0.0)
-        self.fallback_cost = 10.0 - worst
+        self.fallback_cost = 10.0 - min(scores, default=0.0)
+        self.id_bytes = [np.uint32(i).tobytes() for i in range(len(self.pieces))]
+        #: Whether piece b may follow piece a, which is None at the start and after fallback.
+        self.junctions = Memo(self._passes, 2 * memo)
+        self.parts = Memo(self.shortest_path, memo)
+        self.words = Memo(lambda w: self._segment(MARK + w), memo)
+        self.spelt = [self._spelling(i) for i in range(len(self.pieces))]
+
+    def _passes(self, ids: tuple[int | None, int]) -> bool:
+        own = [self.pieces[i] for i in ids if i is not None]
+        return self._merged("".join(own)) == own
+
+    def _spelling(self, i: int) -> bytes:
+        """What an id gives back: a byte, the sign of an unknown piece, nothing for control ids, else the piece."""
+        if i in self.byte_of:
+            return bytes([self.byte_of[i]])
+        own = {2: " ⁇ ", 3: ""}.get(self.kinds[i], self.pieces[i])
+        return (own.replace(MARK, " ") if self.escape else own).encode()
 
     def normalise(self, text: str) -> str:
         if self.strip:
@@ -127,84 +168,60 @@ class Transducer:
                 offer(before[i], i)
         return [p for p in parts if p is not None]
 
-    def passes(self, a: str | None, b: str | None) -> bool:
-        """The junction machine: whether the merges of a+b give back a and b; a is None at the start and after fallback."""
-        if b is None:
-            return True
-        pair = (a, b)
-        found = self.junction.get(pair)
-        if found is None:
-            if len(self.junction) > 2 * self.limit:
-                self.junction.clear()
-            found = self.junction[pair] = self._merged((a or "") + b) == ([a, b] if a else [b])
-        return found
-
-    def _arcs(self, text: str, at: int) -> list[str | None]:
-        """Pieces that start at a place, longest first; None stands for byte fallback, where no piece has the character."""
-        out, ids, stems = [], self.ids, self.stems
-        for end in range(at + 1, min(len(text), at + self.width) + 1):
-            piece = text[at:end]
-            if piece in ids:
-                out.append(piece)
-            elif piece not in stems:
-                break
-        if not out or len(out[0]) > 1:
-            out.insert(0, None)
-        return out[::-1]
-
-    def _bpe_path(self, text: str) -> list[tuple[int, str | None]]:
-        """Every junction that lets a piece pass costs nothing and fallback costs the same on all paths, so the first path
-        that a depth-first search completes is a least-cost one; states (place, last piece) are visited once."""
-        n, dead, path = len(text), set(), []
-        stack = [(0, None, iter(self._arcs(text, 0)))] if n else []
-        while stack:
-            at, last, arcs = stack[-1]
-            for piece in arcs:
-                end = at + (1 if piece is None else len(piece))
-                if (end, piece) in dead or not self.passes(last, piece):
-                    continue
-                path.append((at, piece))
-                if end == n:
-                    return path
-                stack.append((end, piece, iter(self._arcs(text, end))))
+    def _arcs(self, text: str, at: int) -> list[tuple[int | None, int, float]]:
+        """(id, end, cost) of the arcs that leave a place, found on one walk down the trie of pieces; None stands for byte
+        fallback, where no piece has the character."""
+        out, node, free, end = [], self.trie, self.bpe, at
+        for c in text[at : at + self.width]:
+            node = node.get(c)
+            if node is None:
                 break
+            end += 1
+            i = node.get("")
+            if i is not None:
+                out.append((i, end, 0.0 if free else -self.score[i]))
+        if not out or out[0][1] > at + 1:
+            out.append((None, at + 1, self.fallback_cost))
+        return out
+
+    def shortest_path(self, text: str) -> bytes:
+        """Ids, as little-endian unsigned 32-bit numbers, on the least-cost path of the composed lattice.
+
+        A state is a place and the last piece, which only junctions of byte-pair models tell apart. States are settled by
+        cost, of equal costs the farthest place first. No weight is negative, so the first path to settle the end is a
+        least one, and a junction need only be weighed when its arc comes to the front: until then its cost is a bound.
+        """
+        n, bpe, arcs, junctions = len(text), self.bpe, self._arcs, self.junctions
+        push, pop, settled = heapq.heappush, heapq.heappop, set()
+        # (cost without the junction, place from its end, order of arrival, place before, last id, id, path before)
+        heap: list[tuple] = []
+        at, count, last, path, cost = 0, 0, None, (), 0.0
+        while at < n:
+            for i, end, weight in arcs(text, at):
+                count += 1
+                push(heap, (cost + weight, -end, count, at, last, i, path))
+            while heap:
+                cost, rest, _, before, prior, i, path = pop(heap)
+                state = (rest, i) if bpe else rest
+                if state not in settled and not (bpe and i is not None and not junctions[prior, i]):
+                    settled.add(state)
+                    break
             else:
-                stack.pop()
-                dead.add((at, last))
-                if path:
-                    path.pop()
-        return path
-
-    def _unigram_path(self, text: str) -> list[tuple[int, str | None]]:
-        n = len(text)
-        best: list[tuple[float, int, str | None] | None] = [(0.0, -1, None)] + [None] * n
-        for at in range(n):
-            total = best[at][0]
-            for piece in self._arcs(text, at):
-                end = at + (1 if piece is None else len(piece))
-                cost = total + (self.fallback_cost if piece is None else -self.score[self.ids[piece]])
-                if best[end] is None or cost < best[end][0]:
-                    best[end] = (cost, at, piece)
-        path, at = [], n
-        while at > 0:
-            _, prev, piece = best[at]
-            path.append((prev, piece))
-            at = prev
-        return path[::-1]
-
-    def shortest_path(self, text: str) -> tuple[int, ...]:
-        """Ids on the least-cost path of the composed lattice."""
-        out: list[int] = []
-        for at, piece in self._bpe_path(text) if self.bpe else self._unigram_path(text):
-            if piece is not None:
-                out.append(self.ids[piece])
-            elif self.bytes_:
-                out += [self.bytes_[x] for x in text[at].encode("utf-8", "replace")]
-            else:
-                out.append(self.unknown)
-        return tuple(out)
+                raise ValueError(f"the machines give no path for {text!r}")
+            at, last, path = -rest, i, (path, before, i)
+        steps = []
+        while path:
+            path, before, i = path
+            steps.append(self.id_bytes[i] if i is not None else self._fallback(text[before]))
+        return b"".join(reversed(steps))
+
+    def _fallback(self, character: str) -> bytes:
+        if not self.bytes_:
+            return self.id_bytes[self.unknown]
+        return b"".join([self.id_bytes[self.bytes_[x]] for x in character.encode("utf-8", "replace")])
 
     def _segments(self, text: str) -> list[str]:
+        """Pieces of a normalised text between places that no piece crosses."""
         if not self.cuts:
             return [text] if text else []
         parts = text.split(MARK)
@@ -219,45 +236,30 @@ class Transducer:
                 marks = 0
         return out + ([MARK * marks] if marks else [])
 
-    def _split_path(self, seg: str) -> tuple[int, ...]:
-        """The shortest path, put together from those between places that no piece crosses."""
-        joined, start, out = self.joined, 0, ()
+    def _segment(self, seg: str) -> bytes:
+        """The shortest path, put together from those between places that no piece crosses: a lattice has one state there
+        but for the last piece, and no junction weighs characters that no piece joins."""
+        joined, start, out = self.joined, 0, b""
         for k in range(1, len(seg)):
             if seg[k - 1 : k + 1] not in joined:
-                out += self._part(seg[start:k])
+                out += self.parts[seg[start:k]]
                 start = k
-        return out + self._part(seg[start:])
+        return out + self.parts[seg[start:]]
 
-    def _part(self, part: str) -> tuple[int, ...]:
-        ids = self.parts.get(part)
-        if ids is None:
-            if len(self.parts) >= self.limit:
-                self.parts.clear()
-            ids = self.parts[part] = self.shortest_path(part)
-        return ids
+    def encode_bytes(self, text: str | None) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit numbers."""
+        text = text or ""
+        if self.cuts and self.prefix and self.escape and text and MARK not in text and "  " not in text and text[0] != " " != text[-1]:
+            return b"".join(map(self.words.__getitem__, text.split(" ")))  # each word has its mark in front
+        return b"".join([self._segment(x) for x in self._segments(self.normalise(text))])
 
     def encode(self, text: str | None) -> list[int]:
-        memo, out = self.memo, []
-        for seg in self._segments(self.normalise(text or "")):
-            ids = memo.get(seg)
-            if ids is None:
-                if len(memo) >= self.limit:
-                    memo.clear()
-                ids = memo[seg] = self._split_path(seg)
-            out += ids
-        return out
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The inverse machine: bytes gather to characters (malformed ones become U+FFFD), marks to spaces, the first
         mark goes if the normaliser put it there."""
-        raw: list[bytes] = []
-        for i in ids:
-            if i in self.byte_of:
-                raw.append(bytes([self.byte_of[i]]))
-            elif self.kinds[i] != 3:
-                raw.append(" ⁇ ".encode() if self.kinds[i] == 2 else self.pieces[i].encode())
-        text = b"".join(raw).decode("utf-8", "replace")
-        text = text.replace(MARK, " ") if self.escape else text
+        text = b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -277,6 +279,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, keep_ids: bool =
     decoding gives back the text, which only a text that holds the visible mark itself can fail. Null and empty texts
     have no ids. Without ``keep_ids`` the ids stay in the task. Nothing is shuffled and no text is cut.
     """
+    bound_batches(docs.sparkSession)
     path = model or default_model_path()
     fields = [("doc_id", pa.int64())] + ([("ids", pa.list_(pa.int32()))] if keep_ids else []) + [("n_ids", pa.int64()), ("n_bytes", pa.int64()), ("ids_crc32", pa.int64()), ("decoded_equal", pa.bool_())]
     ddl = "doc_id long, " + ("ids array<int>, " if keep_ids else "") + "n_ids long, n_bytes long, ids_crc32 long, decoded_equal boolean"
@@ -287,16 +290,15 @@ def encode_documents(docs: DataFrame, model: str | None = None, keep_ids: bool =
         byte_ids = np.zeros(len(fst.pieces), bool)
         byte_ids[list(fst.byte_of)] = True
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                rows = []
-                for text in part.column(1).to_pylist():
-                    ids = fst.encode(text)
-                    a = np.array(ids, "<u4")
-                    own = (len(ids), int(byte_ids[a].sum()), zlib.crc32(a.tobytes()), fst.decode(ids) == (text or ""))
-                    rows.append(((a.astype(np.int32),) if keep_ids else ()) + own)
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64())] + [pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True)], schema=schema)
+            rows = []
+            for text in batch.column(1):
+                text = text.as_py() or ""
+                raw = fst.encode_bytes(text)
+                a = np.frombuffer(raw, "<u4")
+                own = (len(a), int(byte_ids[a].sum()), zlib.crc32(raw), fst.decode(a.tolist()) == text)
+                rows.append(((a.astype(np.int32),) if keep_ids else ()) + own)
+            cols = list(zip(*rows, strict=True)) if rows else [()] * (len(fields) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64())] + [pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True)], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
 
@@ -305,11 +307,9 @@ def decode_documents(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """(doc_id, text) of rows with ids; null ids give a null text."""
     path = model or default_model_path()
 
-    @F.pandas_udf("string")
-    def text_of(ids):
-        import pandas as pd
-
+    @arrow_udf("string")
+    def text_of(ids: pa.Array) -> pa.Array:
         fst = transducer(path)
-        return pd.Series([None if x is None else fst.decode(list(x)) for x in ids], dtype=object)
+        return pa.array([None if x is None else fst.decode(x) for x in ids.to_pylist()], pa.string())
 
     return encoded.select("doc_id", text_of("ids").alias("text"))
