@@ -7,6 +7,7 @@ best solutions, and what its poorly filled sequences hold is dealt anew and evol
 
 from __future__ import annotations
 
+import json
 import random
 import zlib
 from collections.abc import Iterator
@@ -17,15 +18,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadloom.llm.common import bound_batches
 from roadloom.session import checkpointed
 
 CAPACITY, END_ID = 1024, 2
-#: Pieces of a block; islands of a block; solutions of an island; generations between migrations; migrations.
-BLOCK_ITEMS, ISLANDS, POPULATION, GENERATIONS, EPOCHS = 4096, 2, 4, 6, 2
-#: Entries of a worker's memo of words.
-MEMO = 400_000
+#: Pieces of a block; islands of a block; solutions of an island; migrations; generations between migrations; generations
+#: without a gain after which an island rests until the next migration.
+BLOCK_ITEMS, ISLANDS, POPULATION, EPOCHS, GENERATIONS, PATIENCE = 4096, 2, 6, 3, 24, 8
 
-_memo: dict = {}
+_encoders: dict = {}
 
 
 def default_tokenizer_path() -> str:
@@ -39,79 +40,53 @@ PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 
 class ByteBpe:
-    """Ids of whole texts, by the ``tokenizers`` library.
+    """Ids of whole texts under a vocabulary file of the ``tokenizers`` library.
 
-    Byte-level BPE never merges across pre-tokens, and where no two white spaces meet, a pre-token never crosses the place
-    before a space. So words are put together from remembered pre-tokens; new pre-tokens go through the library's
-    model, and texts with white space side by side or a special token's string through all of it.
+    Where the file is plain byte-level BPE whose ids rise with the order of the merges, merging by least id is merging by
+    first merge, and ``tiktoken`` does that several times faster over the same vocabulary. Texts that hold a special
+    token's string, and files of another kind, go through ``tokenizers`` itself.
     """
 
-    def __init__(self, path: str, memo: int = MEMO):
-        import regex
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.spaced, self.mixed, self.tokens, self.limit = {}, {}, {}, memo
-        self.double, self.pre = regex.compile(r"\s\s"), regex.compile(PRE_TOKEN)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.fast = self._ranked(path)
+
+    @staticmethod
+    def _ranked(path: str):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, before = spec["model"], spec.get("pre_tokenizer") or {}
+        plain_file = model.get("type") == "BPE" and spec.get("normalizer") is None and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        if not plain_file or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            return None
         # Byte-level BPE spells byte b as a printable character: itself where it is one, else 256 and up in turn.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         spare = iter(range(256, 512))
-        self.spell = {b: b if b in plain else next(spare) for b in range(256)}
-
-    def _ids(self, token: str) -> bytes:
-        spelt = token.encode("utf-8", "replace").decode("latin-1").translate(self.spell)
-        return np.array([t.id for t in self.whole.model.tokenize(spelt)], "<u4").tobytes()
-
-    def _token(self, token: str) -> bytes:
-        """Ids of one pre-token that is no spaced word, remembered."""
-        ids = self.tokens.get(token)
-        if ids is None:
-            if len(self.tokens) * 4 > self.limit:
-                self.tokens.clear()
-            ids = self.tokens[token] = self._ids(token)
-        return ids
-
-    def _spaced(self, word: str) -> bytes:
-        """Ids of letters with the space before them, remembered by the letters."""
-        ids = self.spaced.get(word)
-        if ids is None:
-            if len(self.spaced) > self.limit:
-                self.spaced.clear()
-            ids = self.spaced[word] = self._ids(" " + word)
-        return ids
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word with the space before it. Most words are letters and then sentence marks, two pre-tokens."""
-        ids = self.mixed.get(word)
-        if ids is None:
-            core = word.rstrip(".,;:!?")
-            if len(core) == len(word) and core.isalpha():
-                return self._spaced(core)
-            if core.isalpha():
-                ids = self._spaced(core) + self._token(word[len(core) :])
-            else:
-                ids = b"".join([self._token(t) for t in self.pre.findall(" " + word)])
-            if len(self.mixed) * 2 > self.limit:
-                self.mixed.clear()
-            self.mixed[word] = ids
-        return ids
+        byte_of = {chr(b if b in plain else next(spare)): b for b in range(256)}
+        added = {t["content"] for t in spec.get("added_tokens", [])}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in added}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        ids = [model["vocab"][a + b] for a, b in merges]
+        if any(a >= b for a, b in zip(ids, ids[1:], strict=False)):
+            return None
+        return tiktoken.Encoding(path, pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of a text."""
-        if self.double.search(text) or any(s in text for s in self.special):
+        if self.fast is None or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        head, *rest = text.split(" ")
-        known, learn = self.spaced.get, self._word
-        out = [self._token(t) for t in self.pre.findall(head)]
-        out += [known(w) or learn(w) for w in rest]
-        return b"".join(out)
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 def _encoder(path: str) -> ByteBpe:
-    if path not in _memo:
-        _memo[path] = ByteBpe(path)
-    return _memo[path]
+    if path not in _encoders:
+        _encoders[path] = ByteBpe(path)
+    return _encoders[path]
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -131,20 +106,19 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, uid = _encoder(tokenizer), TaskContext.get().partitionId() << 36
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                rows = []
-                for doc_id, ids in zip(part.column(0).to_pylist(), map(enc.encode, [t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids += end
-                    n = len(ids) // 4
-                    start, stop, piece = 0, n % capacity or capacity, 0
-                    while start < n:
-                        own = ids[4 * start : 4 * stop]
-                        rows.append((uid, doc_id, piece, start, stop - start, zlib.crc32(own)) + ((np.frombuffer(own, "<u4").astype(np.int32),) if keep_ids else ()))
-                        uid, start, stop, piece = uid + 1, stop, stop + capacity, piece + 1
-                cols = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
-
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = enc.encode(text.as_py() or "") + end
+                n = len(ids) // 4
+                start, stop, piece = 0, n % capacity or capacity, 0
+                while start < n:
+                    own = ids[4 * start : 4 * stop]
+                    rows.append((uid, doc_id, piece, start, stop - start, zlib.crc32(own)) + ((np.frombuffer(own, "<u4").astype(np.int32),) if keep_ids else ()))
+                    uid, start, stop, piece = uid + 1, stop, stop + capacity, piece + 1
+            cols = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
 
 
@@ -208,12 +182,60 @@ def _dissolve(sol: _Solution, gone: set[int], first: list[list[int]], lengths: l
     return _Solution(bins, lengths)
 
 
+def lower_bound(lengths: list[int], capacity: int) -> int:
+    """No packing has fewer bins: for every k up to half the capacity, items longer than capacity - k share a bin with none
+    of length k or more, other items over half share with no item over half, and the items from k to half need the room
+    that these leave."""
+    if not lengths:
+        return 0
+    a = np.sort(np.asarray(lengths, np.int64))
+    total = np.r_[0, np.cumsum(a)]
+    half = np.searchsorted(a, capacity / 2, "right")
+    best = -(-int(total[-1]) // capacity)
+    for k in np.unique(np.r_[0, a[:half]]):
+        alone = np.searchsorted(a, capacity - k, "right")
+        low = np.searchsorted(a, k, "left")
+        over = len(a) - half
+        room = (alone - half) * capacity - (total[alone] - total[half]) if alone > half else 0
+        need = max(0, int(total[half] - total[low] - room)) if half > low else 0
+        best = max(best, over + -(-need // capacity))
+    return int(best)
+
+
+def refill(sol: _Solution, lengths: list[int], capacity: int, tries: int = 64) -> _Solution:
+    """The emptiest bins are dissolved, and a dissolved item takes the place of one or two shorter ones wherever the bin
+    comes out fuller without running over; what is left over is best-fitted. Short items are the easier to place."""
+    order = sorted(range(len(sol.bins)), key=sol.fill.__getitem__)
+    gone = set(order[: max(2, len(order) // 50)])
+    loose = sorted((i for k in gone for i in sol.bins[k]), key=lambda i: -lengths[i])
+    bins = [list(b) for k, b in enumerate(sol.bins) if k not in gone]
+    fill = [f for k, f in enumerate(sol.fill) if k not in gone]
+    slack = sorted((k for k in range(len(bins)) if fill[k] < capacity), key=lambda k: -fill[k])[:tries]
+    for k in slack:
+        own, room = bins[k], capacity - fill[k]
+        best = None
+        for at, i in enumerate(loose):
+            for out in [(j,) for j in own] + [(own[x], own[y]) for x in range(len(own)) for y in range(x)] if len(own) < 12 else [(j,) for j in own]:
+                gain = lengths[i] - sum(lengths[j] for j in out)
+                if 0 < gain <= room and (best is None or gain > best[0]):
+                    best = (gain, at, out)
+            if best and best[0] == room:
+                break
+        if best:
+            gain, at, out = best
+            own[:] = [j for j in own if j not in out] + [loose[at]]
+            loose[at : at + 1] = out
+            fill[k] += gain
+    best_fit(sorted(loose, key=lambda i: (-lengths[i], i)), lengths, bins, fill, capacity)
+    return _Solution(bins, lengths)
+
+
 def crossover(a: _Solution, b: _Solution, lengths: list[int], capacity: int, rng: random.Random) -> _Solution:
-    """Well-filled bins of ``b`` are injected whole into ``a``; bins of ``a`` that hold the same items go, and the items
-    displaced that way are best-fitted."""
-    order = sorted(range(len(b.bins)), key=lambda k: -b.fill[k])[: max(1, len(b.bins) // 2)]
-    picked = [b.bins[k] for k in order if rng.random() < 0.5]
-    return _dissolve(a, set(), picked, lengths, capacity)
+    """The fullest bins of ``b``, some tenth to two thirds of all, are injected whole into ``a``; bins of ``a`` that hold
+    the same items go, and the items displaced that way are best-fitted."""
+    order = sorted(range(len(b.bins)), key=lambda k: (-b.fill[k], rng.random()))
+    picked = order[: max(1, int(len(order) * rng.uniform(0.1, 0.67)))]
+    return _dissolve(a, set(), [b.bins[k] for k in picked], lengths, capacity)
 
 
 def mutate(a: _Solution, lengths: list[int], capacity: int, rng: random.Random) -> _Solution:
@@ -223,22 +245,25 @@ def mutate(a: _Solution, lengths: list[int], capacity: int, rng: random.Random)
     return _dissolve(a, gone, [], lengths, capacity)
 
 
-def evolve(lengths: list[int], seeds: list[list[list[int]]], capacity: int, rng: random.Random, generations: int = GENERATIONS, population: int = POPULATION) -> list[_Solution]:
-    """The island's solutions, best first. It stops early when the best one meets the bound sum / capacity, rounded up."""
-    bound = -(-sum(lengths) // capacity)
+def evolve(lengths: list[int], seeds: list[list[list[int]]], capacity: int, rng: random.Random, generations: int = GENERATIONS, population: int = POPULATION, patience: int = PATIENCE) -> list[_Solution]:
+    """The island's solutions, best first. It rests when the best one meets the lower bound, for no packing is better, and
+    after ``patience`` generations without a gain. Children are made of two parents, mutated or refilled, and take the
+    place of the worst solution that is no better than they."""
+    bound = lower_bound(lengths, capacity)
     pop = [_Solution(s, lengths) for s in seeds]
     noise = 0.0
-    while len(pop) < population:
+    while len(pop) < population and (not pop or min(s.fitness for s in pop)[0] > bound):
         pop.append(_fresh(lengths, capacity, rng, noise))
         noise = noise * 2 or 0.02
-        if pop[-1].fitness[0] == bound:
-            break
     pop.sort(key=lambda s: s.fitness)
+    idle = 0
     for _ in range(generations):
-        if pop[0].fitness[0] == bound or len(pop) < 2:
+        if pop[0].fitness[0] <= bound or len(pop) < 2 or idle >= patience:
             break
-        i, j = sorted(rng.sample(range(len(pop)), 2))
-        child = mutate(crossover(pop[i], pop[j], lengths, capacity, rng), lengths, capacity, rng)
+        i, j = rng.sample(range(len(pop)), 2)
+        child = crossover(pop[i], pop[j], lengths, capacity, rng)
+        child = refill(child, lengths, capacity) if rng.random() < 0.7 else mutate(child, lengths, capacity, rng)
+        idle = 0 if child.fitness < pop[0].fitness else idle + 1
         if child.fitness < pop[-1].fitness:
             pop[-1] = child
             pop.sort(key=lambda s: s.fitness)
@@ -302,7 +327,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_I
     """(uid, sequence_id, offset) for pieces (uid, length): no sequence holds more than ``capacity``.
 
     A block is a fixed number of pieces, so the work grows with the pieces and no task with the corpus. Sequences below
-    95 % full are taken apart once more and packed across blocks.
+    95 % full are taken apart once more and packed across blocks. Pieces of equal length are interchangeable; ties go by
+    uid.
     """
     small = checkpointed(pieces.where(F.col("length") < capacity).select("uid", F.col("length").cast("long").alias("length")))
     full = pieces.where(F.col("length") == capacity).select("uid", (F.col("uid") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
