@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.llm.common import SPACE_BYTES
+from roadloom.llm.common import SPACE_BYTES, bound_batches
 from roadloom.operators.graph import split_join
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -33,13 +33,12 @@ def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                sets = [{k for k in line_keys(t, min_chars) if k} if t else set() for t in part.column(1).to_pylist()]
-                ids = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
-                flat = np.frombuffer(b"".join(k for s in sets for k in sorted(s)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()).take(ids), pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], schema=schema)
+            sets = [{k for k in line_keys(t.as_py() or "", min_chars) if k} for t in batch.column(1)]
+            ids = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            flat = np.frombuffer(b"".join(k for s in sets for k in sorted(s)), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()).take(ids), pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], schema=schema)
 
+    bound_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, k1 long, k2 long")
 
 
