@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadloom.session import checkpointed
+
 #: The word separators of the contracts, as bytes and as a Java character class.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -45,8 +47,11 @@ def with_verdicts(docs: DataFrame, judged: DataFrame) -> DataFrame:
     Of kept rows that agree in both one stays, whichever; they may differ in other columns only.
     """
     found = judged.groupBy("doc_id", "text_sha256").agg(F.bool_or("kept").alias("kept"), F.count("*").alias("n"))
-    found = found.where("not kept or n > 1").select(F.col("doc_id").alias("id"), "text_sha256", F.col("kept").alias("one"))
+    found = checkpointed(found.where("not kept or n > 1").select(F.col("doc_id").alias("id"), "text_sha256", F.col("kept").alias("one")))
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text_sha256().alias("sha"))
-    both = own.join(found, (own["sha"] == found["text_sha256"]) & own["row.doc_id"].eqNullSafe(found["id"]), "left").select("row", "sha", "one")
+    same = (own["sha"] == found["text_sha256"]) & own["row.doc_id"].eqNullSafe(found["id"])
+    if found.where("one").isEmpty():  # no kept row repeats another: texts are moved once
+        return own.join(found, same, "left_anti").select("row.*")
+    both = own.join(found, same, "left").select("row", "sha", "one")
     once = both.where("one").withColumn("id", F.col("row.doc_id")).dropDuplicates(["id", "sha"])
     return both.where("one is null").select("row.*").union(once.select("row.*"))
