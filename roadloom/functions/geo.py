@@ -102,8 +102,9 @@ def midpoint(line: Column) -> Column:
     return F.struct(walked["x"].alias("x"), walked["y"].alias("y"))
 
 
-def clipped_length(x1: Column, y1: Column, x2: Column, y2: Column, ring: Column) -> Column:
-    """Length of the part of a straight line inside a ring: cut at all crossings, pieces kept by their middle."""
+def inside_intervals(x1: Column, y1: Column, x2: Column, y2: Column, ring: Column) -> Column:
+    """array<struct<a, b>>: the parts of a straight line inside a ring, in shares of its length: the line is cut at all
+    crossings and pieces are kept by their middle."""
     dx, dy = x2 - x1, y2 - y1
 
     def crossing(s: Column) -> Column:
@@ -113,11 +114,34 @@ def clipped_length(x1: Column, y1: Column, x2: Column, y2: Column, ring: Column)
         u = F.try_divide((s["x1"] - x1) * dy - (s["y1"] - y1) * dx, det)
         return F.when(t.between(0, 1) & u.between(0, 1), t)
 
-    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), F.filter(F.transform(segments(ring), crossing), lambda t: t.isNotNull())))
+    crossings = F.filter(F.transform(segments(ring), crossing), lambda t: t.isNotNull())
+    cuts = F.array_sort(F.concat(F.array(F.lit(0.0), F.lit(1.0)), crossings))
     pairs = F.zip_with(F.slice(cuts, 1, F.size(cuts) - 1), F.slice(cuts, 2, F.size(cuts) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     mid = lambda p: (p["a"] + p["b"]) / 2
-    kept = F.aggregate(pairs, F.lit(0.0), lambda acc, p: acc + F.when(in_ring(x1 + mid(p) * dx, y1 + mid(p) * dy, ring), p["b"] - p["a"]).otherwise(0.0))
-    return kept * hypot(dx, dy)
+    return F.filter(pairs, lambda p: (p["b"] > p["a"]) & in_ring(x1 + mid(p) * dx, y1 + mid(p) * dy, ring))
+
+
+def clipped_length(x1: Column, y1: Column, x2: Column, y2: Column, ring: Column) -> Column:
+    """Length of the part of a straight line inside a ring."""
+    kept = F.aggregate(inside_intervals(x1, y1, x2, y2, ring), F.lit(0.0), lambda acc, p: acc + p["b"] - p["a"])
+    return kept * hypot(x2 - x1, y2 - y1)
+
+
+def box_overlap(points: list[tuple[float, float]], low: tuple[float, float], high: tuple[float, float]) -> float:
+    """Area of the part of a ring, of any shape, inside a box: the ring is cut along the box's four sides in turn. Cut-off
+    parts may leave seams along a side, which have no area."""
+    for axis in (0, 1):
+        for bound, sign in ((low[axis], 1), (high[axis], -1)):
+            kept = []
+            for p, q in zip(points, points[1:] + points[:1], strict=True):
+                p_in, q_in = sign * (p[axis] - bound) >= 0, sign * (q[axis] - bound) >= 0
+                if p_in:
+                    kept.append(p)
+                if p_in != q_in:
+                    t = (bound - p[axis]) / (q[axis] - p[axis])
+                    kept.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+            points = kept
+    return abs(sum(p[0] * q[1] - q[0] * p[1] for p, q in zip(points, points[1:] + points[:1], strict=True))) / 2
 
 
 def far_ends(points: Column) -> Column:

@@ -1,11 +1,118 @@
-"""Routes over directed edges."""
+"""Routes and reach over directed edges.
+
+What can be reached is found block by block: a block of the network, such as a cell of some kilometres, is walked to its
+end within one task, and only the steps that leave it go through a shuffle. So rounds follow the number of blocks that a
+path crosses, not the number of its edges.
+"""
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions.text import base_id
+from roadloom.session import checkpointed
+
+_LABELS = "node long, block long, dist long, leaves boolean"
+
+
+def _walk(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Least distances within one block from its labelled nodes, and the steps that leave it."""
+    block = pdf["block"].iloc[0]
+    arcs = pdf[pdf["dst"].notna()]
+    then = defaultdict(list)
+    for src, dst, far in zip(arcs["node"].tolist(), arcs["dst"].astype("int64").tolist(), arcs["dst_block"].astype("int64").tolist(), strict=True):
+        then[src].append((dst, far))
+    labels = pdf[pdf["dist"].notna()]
+    heap = [(int(d), n) for n, d in zip(labels["node"].tolist(), labels["dist"].tolist(), strict=True)]
+    heapq.heapify(heap)
+    own, away = {}, {}
+    while heap:
+        d, n = heapq.heappop(heap)
+        if n in own:
+            continue
+        own[n] = d
+        for dst, far in then[n]:
+            if far == block:
+                if dst not in own:
+                    heapq.heappush(heap, (d + 1, dst))
+            elif d + 1 < away.get(dst, (d + 2, 0))[0]:
+                away[dst] = (d + 1, far)
+    rows = [(n, block, d, False) for n, d in own.items()] + [(n, far, d, True) for n, (d, far) in away.items()]
+    return pd.DataFrame(rows, columns=["node", "block", "dist", "leaves"])
+
+
+def hops_from(edges: DataFrame, seeds: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(node, dist): the least number of steps along edges (src, dst) from any of seeds (node); nodes out of reach get no
+    row. ``blocks`` (node, block) gives every node its block, which must fit in one task with its edges."""
+    home = lambda end: blocks.select(F.col("node").alias(end), F.col("block").alias(f"{end}_block"))
+    arcs = checkpointed(edges.select("src", "dst").distinct().join(home("src"), "src").join(home("dst"), "dst").select(F.col("src_block").alias("block"), F.col("src").alias("node"), "dst", "dst_block"))
+    known = checkpointed(seeds.select("node").distinct().join(blocks.select("node", "block"), "node").select("node", "block", F.lit(0).cast("long").alias("dist")))
+    active = checkpointed(known.select("block").distinct())
+    while not active.isEmpty():
+        rows = arcs.unionByName(known, allowMissingColumns=True).join(active, "block", "left_semi")
+        found = checkpointed(rows.groupBy("block").applyInPandas(_walk, _LABELS))
+        best = checkpointed(known.unionByName(found.drop("leaves")).groupBy("node", "block").agg(F.min("dist").alias("dist")))
+        old = known.select("node", F.col("dist").alias("old"))
+        sent = found.where("leaves").groupBy("node", "block").agg(F.min("dist").alias("dist")).join(old, "node", "left").where("old is null or dist < old")
+        active = checkpointed(sent.select("block").distinct(), instead_of=active)
+        known = best
+    return known.select("node", "dist")
+
+
+def exit_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, path): the nodes after each of nodes (node, block) on a shortest way along edges (src, dst) to a node that
+    nothing follows; of equal ways the one with smaller next nodes. Exits have an empty path, and so have nodes from
+    which no exit can be reached. Paths double with each round."""
+    ends = nodes.select("node").join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    dist = checkpointed(hops_from(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ends, nodes))
+    near = edges.join(dist.select(F.col("node").alias("src"), "dist"), "src").join(dist.select(F.col("node").alias("dst"), F.col("dist").alias("left")), "dst")
+    step = near.where("left = dist - 1").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("end"))
+    empty = F.array().cast("array<bigint>")
+    paths = checkpointed(dist.join(step, "node", "left").select("node", F.when(F.col("end").isNull(), empty).otherwise(F.array("end")).alias("path"), "end"))
+    for _ in range(int(dist.agg(F.max("dist")).first()[0] or 0).bit_length()):
+        after = paths.select(F.col("node").alias("end"), F.col("path").alias("more"), F.col("end").alias("then"))
+        paths = checkpointed(paths.join(after, "end", "left").select("node", F.concat("path", F.coalesce("more", empty)).alias("path"), F.col("then").alias("end")), instead_of=paths)
+    return nodes.select("node").join(paths.select("node", "path"), "node", "left").select("node", F.coalesce("path", empty).alias("path"))
+
+
+def entry_exit_reach(edges: DataFrame, nodes: DataFrame, entries: DataFrame) -> DataFrame:
+    """(node, is_entry, is_exit, from_entry, to_exit) of nodes (node, block): whether any of ``entries`` (node) leads there
+    and whether an exit, a node that nothing follows, can be reached. One closure each way, none per entry."""
+    ends = nodes.select("node").join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    flag = lambda df, name: df.select("node").distinct().withColumn(name, F.lit(True))
+    rows = nodes.select("node")
+    for df, name in ((entries, "is_entry"), (ends, "is_exit"), (hops_from(edges, entries, nodes), "from_entry"), (hops_from(back, ends, nodes), "to_exit")):
+        rows = rows.join(flag(df, name), "node", "left")
+    return rows.select("node", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("is_entry", "is_exit", "from_entry", "to_exit")])
+
+
+def largest_scc(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node) of the largest set of nodes (node, block) of which each can be reached from each along edges (src, dst).
+
+    The pivot is the node with most ways through it; its set is what it reaches and what reaches it. Unless that set is as
+    large as all nodes left over, the others are tried in the same way. Of equal sets the first found stays.
+    """
+    rest, best, size = checkpointed(nodes.select("node", "block")), None, 0
+    while True:
+        inside = edges.select("src", "dst").join(rest.select(F.col("node").alias("src")), "src", "left_semi").join(rest.select(F.col("node").alias("dst")), "dst", "left_semi")
+        inside = checkpointed(inside)
+        ways = inside.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).join(inside.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("m")), "node", "left")
+        pivot = rest.select("node").join(ways, "node", "left").agg(F.max(F.struct((F.coalesce("n", F.lit(0)) * F.coalesce("m", F.lit(0))).alias("w"), (-F.col("node")).alias("k"))).alias("p")).select((-F.col("p.k")).alias("node")).where("node is not null")
+        pivot = checkpointed(pivot)
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        own = checkpointed(hops_from(inside, pivot, rest).select("node").join(hops_from(back, pivot, rest).select("node"), "node"))
+        n = own.count()
+        if n > size:
+            best, size = own, n
+        rest = checkpointed(rest.join(own, "node", "left_anti"), instead_of=rest)
+        if rest.count() <= size or n == 0:
+            return own if best is None else best
 
 
 def cap_hops(routes: DataFrame, paths: DataFrame, max_hops: int) -> DataFrame:

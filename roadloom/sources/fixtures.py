@@ -40,8 +40,16 @@ select link_id as reg_id, case when link_id % 2 = 0 then x1 else x2 end as x1, c
   case when link_id % 2 = 0 then x2 else x1 end as x2, case when link_id % 2 = 0 then y2 + 5 else y1 + 5 end as y2,
   30 + 10 * (link_id % 4) as speed from fx_links where link_id % 5 = 0
 """
-VIEWS = {"fx_nodes": NODES, "fx_links": LINKS, "fx_signs": SIGNS, "fx_sensor": SENSOR, "fx_obs": OBS, "fx_flow": FLOW, "fx_reglines": REGLINES}
-_BELOW = {"fx_links": ["fx_nodes"], "fx_reglines": ["fx_nodes", "fx_links"]}
+FACES = """
+select nid as face_id, case when nid % 23 = 0 then x - 10 else x - 4 - nid % 41 end as fx1, case when nid % 23 = 0 then x + 140 else x + 4 + nid % 41 end as fx2,
+  case when nid % 23 = 0 then y - 10 else y - 4 - nid % 37 end as fy1, case when nid % 23 = 0 then y + 10 else y + 4 + nid % 37 end as fy2 from fx_nodes
+"""
+ROADS = """
+select link_id as road_id, case when y1 = y2 then x1 else x1 - 4 - width_cls end as rx1, case when y1 = y2 then x2 else x1 + 3 + 2 * width_cls end as rx2,
+  case when y1 = y2 then y1 - 4 - width_cls else y1 end as ry1, case when y1 = y2 then y1 + 3 + 2 * width_cls else y2 end as ry2 from fx_links where link_id % 6 <> 5
+"""
+VIEWS = {"fx_nodes": NODES, "fx_links": LINKS, "fx_signs": SIGNS, "fx_sensor": SENSOR, "fx_obs": OBS, "fx_flow": FLOW, "fx_reglines": REGLINES, "fx_faces": FACES, "fx_roads": ROADS}
+_BELOW = {"fx_links": ["fx_nodes"], "fx_reglines": ["fx_nodes", "fx_links"], "fx_faces": ["fx_nodes"], "fx_roads": ["fx_nodes", "fx_links"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
