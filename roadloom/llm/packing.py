@@ -168,8 +168,9 @@ def _fresh(lengths: list[int], capacity: int, rng: random.Random, noise: float)
     return _Solution(bins, lengths)
 
 
-def _dissolve(sol: _Solution, gone: set[int], first: list[list[int]], lengths: list[int], capacity: int) -> _Solution:
-    """``first`` whole, the bins of ``sol`` outside ``gone`` and without items of ``first``, the rest best-fitted."""
+def _dissolve(sol: _Solution, gone: set[int], first: list[list[int]], lengths: list[int], capacity: int, noise=lambda: 0.0) -> _Solution:
+    """``first`` whole, the bins of ``sol`` outside ``gone`` and without items of ``first``, the rest best-fitted by falling
+    length, or nearly so with ``noise``."""
     taken = {i for b in first for i in b}
     bins, loose = [list(b) for b in first], []
     for k, b in enumerate(sol.bins):
@@ -178,7 +179,8 @@ def _dissolve(sol: _Solution, gone: set[int], first: list[list[int]], lengths: l
         else:
             bins.append(list(b))
     fill = [sum(lengths[i] for i in b) for b in bins]
-    best_fit(sorted(loose, key=lambda i: (-lengths[i], i)), lengths, bins, fill, capacity)
+    order = sorted((-lengths[i] * (1 + noise()), i) for i in loose)
+    best_fit([i for _, i in order], lengths, bins, fill, capacity)
     return _Solution(bins, lengths)
 
 
@@ -239,16 +241,18 @@ def crossover(a: _Solution, b: _Solution, lengths: list[int], capacity: int, rng
 
 
 def mutate(a: _Solution, lengths: list[int], capacity: int, rng: random.Random) -> _Solution:
-    """The emptiest bin and a few others are dissolved and their items best-fitted."""
+    """The emptiest bin and a few others are dissolved and their items best-fitted in an order that is near that of their
+    lengths, so that what is dissolved does not come back as it was."""
     worst = min(range(len(a.bins)), key=a.fill.__getitem__)
     gone = {worst} | {rng.randrange(len(a.bins)) for _ in range(max(2, len(a.bins) // 50))}
-    return _dissolve(a, gone, [], lengths, capacity)
+    width = rng.choice((0.1, 0.5, 2.0))
+    return _dissolve(a, gone, [], lengths, capacity, lambda: width * rng.random())
 
 
 def evolve(lengths: list[int], seeds: list[list[list[int]]], capacity: int, rng: random.Random, generations: int = GENERATIONS, population: int = POPULATION, patience: int = PATIENCE) -> list[_Solution]:
     """The island's solutions, best first. It rests when the best one meets the lower bound, for no packing is better, and
     after ``patience`` generations without a gain. Children are made of two parents, mutated or refilled, and take the
-    place of the worst solution that is no better than they."""
+    place of the worst solution if they are no worse or have no more bins than the best."""
     bound = lower_bound(lengths, capacity)
     pop = [_Solution(s, lengths) for s in seeds]
     noise = 0.0
@@ -262,9 +266,9 @@ def evolve(lengths: list[int], seeds: list[list[list[int]]], capacity: int, rng:
             break
         i, j = rng.sample(range(len(pop)), 2)
         child = crossover(pop[i], pop[j], lengths, capacity, rng)
-        child = refill(child, lengths, capacity) if rng.random() < 0.7 else mutate(child, lengths, capacity, rng)
+        child = refill(child, lengths, capacity) if rng.random() < 0.5 else mutate(child, lengths, capacity, rng)
         idle = 0 if child.fitness < pop[0].fitness else idle + 1
-        if child.fitness < pop[-1].fitness:
+        if child.fitness <= pop[-1].fitness or len(child.bins) <= len(pop[0].bins):  # equals are let in: they differ inside
             pop[-1] = child
             pop.sort(key=lambda s: s.fitness)
     return pop
