@@ -113,7 +113,7 @@ def graph(spark, pairs, block):
     return spark.createDataFrame(pairs, "src long, dst long"), spark.createDataFrame([(n, block(n)) for n in ids], "node long, block long"), ids
 
 
-@pytest.mark.parametrize("block", [lambda n: 0, lambda n: n % 3, lambda n: n // 4])
+@pytest.mark.parametrize("block", [lambda n: n % 3, lambda n: n // 4])
 def test_exit_paths_and_components_equal_plain_walks(spark, block):
     pairs = [(n, n + 1) for n in range(11)] + [(3, 0), (7, 4), (5, 20), (20, 21), (30, 31), (31, 32), (32, 30), (2, 9)]
     edges, nodes, ids = graph(spark, pairs, block)
