@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roadloom.session import checkpointed
+
 #: UTF-8 bytes of text that a bucket holds on average; buckets for each shuffle partition at least.
 BUCKET_BYTES, BUCKETS_PER_PARTITION = 4 << 20, 4
 #: Bytes that a record takes besides its text.
@@ -44,7 +46,7 @@ def shuffled_shards(docs: DataFrame, shards: int = 40, seed: int = 20, bucket_by
     key = F.xxhash64(F.lit(seed), "doc_id", "text", "row").alias("key")
     keyed = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).select("doc_id", "text", size.alias("size"), key)
     rows = keyed.withColumn("bucket", F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(buckets)))
-    before = rows_before(rows.groupBy("bucket").agg(F.count("*").alias("n")))
+    before = rows_before(checkpointed(rows.groupBy("bucket").agg(F.count("*").alias("n"))))
     # F.shuffle draws from one generator for a whole partition: a task that is run again must meet its buckets in the
     # same order, or it would deal rows anew that others have read.
     dealt = rows.repartition(max(1, buckets // BUCKETS_PER_PARTITION), "bucket").sortWithinPartitions("bucket")
