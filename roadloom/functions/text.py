@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 from roadloom.functions.geo import point
 
@@ -68,16 +73,23 @@ def composite_key(*parts: Column) -> Column:
     return F.when(~missing, F.concat_ws("-", *own))
 
 
+@arrow_udf(StringType())
+def compatible(names: pa.Array) -> pa.Array:
+    """Names in Unicode's form NFKC, which Spark's own functions do not give; null stays null."""
+    distinct = names.dictionary_encode()
+    forms = [None if x is None else unicodedata.normalize("NFKC", x) for x in distinct.dictionary.to_pylist()]
+    return pa.DictionaryArray.from_arrays(distinct.indices, pa.array(forms, pa.string())).cast(pa.string())
+
+
 #: Fixed value: what follows a numeral that is a number and not a part of a name.
 COUNTERS = "丁目|条|線|号|番|地割"
 
 
 def town_key(name: Column) -> Column:
-    """A town's name to compare by: full-width forms to ASCII, numerals before a counter to digits, parts in brackets and
+    """A town's name to compare by: NFKC forms (full-width letters to ASCII, half-width kana to full), numerals before a counter to digits, parts in brackets and
     white space away, small ke and ka written large."""
     mark = "\x01"
-    plain = F.translate(name, WIDE + "\u3000", NARROW + " ")
-    parts = F.split(F.regexp_replace(plain, f"([〇{NUMERALS}十]+)(?={COUNTERS})", f"{mark}$1{mark}"), mark)
+    parts = F.split(F.regexp_replace(compatible(name), f"([〇{NUMERALS}十]+)(?={COUNTERS})", f"{mark}$1{mark}"), mark)
 
     def number(run: Column) -> Column:
         digits = F.translate(run, "〇" + NUMERALS, "0123456789")

@@ -50,8 +50,9 @@ def line_match(links: DataFrame, features: DataFrame, buffer: float, dot_min: fl
     """(link_id, reg_id, cover, dots) of straight links and features (x1, y1, x2, y2).
 
     A feature's segment covers a link's where they are near parallel, the feature's middle is within ``buffer`` of the
-    link's line, and their spans overlap along it. Each link goes to all cells that its buffered box touches, each
-    feature to the cell of its middle, so the equi-join loses no pair. The cells have a side of eight buffers.
+    link's line, and their spans overlap along it. Each link goes to all cells that its box touches, widened by a cell, each
+    feature to the cell of its middle, so the equi-join loses no pair. The cells have a side of eight buffers, doubled
+    for features too long for it, so that a long feature widens the search for its own length class alone.
     """
     size = buffer * 8
     dbl = lambda df, *cols: df.select(*[F.col(c).cast("double").alias(c) if c in ("x1", "y1", "x2", "y2") else F.col(c) for c in cols])
@@ -59,12 +60,19 @@ def line_match(links: DataFrame, features: DataFrame, buffer: float, dot_min: fl
     seg = seg.withColumn("ux", (F.col("x2") - F.col("x1")) / F.col("len")).withColumn("uy", (F.col("y2") - F.col("y1")) / F.col("len"))
     reg = dbl(features, "reg_id", "x1", "y1", "x2", "y2").withColumn("rlen", hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).where("rlen > 1e-9")
     reg = reg.select("reg_id", ((F.col("x1") + F.col("x2")) / 2).alias("mx"), ((F.col("y1") + F.col("y2")) / 2).alias("my"), ((F.col("x2") - F.col("x1")) / F.col("rlen")).alias("vx"), ((F.col("y2") - F.col("y1")) / F.col("rlen")).alias("vy"), "rlen")
-    # A feature's middle may lie up to half its length before or after the link, so the box grows by the longest half.
-    reach = reg.agg(F.coalesce(F.max("rlen"), F.lit(0.0))).first()[0] / 2 + buffer
-    span = lambda a, b: F.sequence(cell(F.least(a, b) - reach, size), cell(F.greatest(a, b) + reach, size))
+    # A feature's middle may lie up to half its length before or after the link, so the link's box grows by that much. Each
+    # feature has the least level whose cells are no smaller, and a link meets the features of a level in cells of that level.
+    need = F.col("rlen") / 2 + buffer
+    reg = reg.withColumn("level", F.greatest(F.ceil(F.log2(need / size)), F.lit(0)).cast("int"))
+    # At most one row for each doubling of the length.
+    levels = sorted(r[0] for r in reg.select("level").distinct().collect())
+    seg = seg.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    side = F.pow(F.lit(2.0), F.col("level")) * size
+    at = lambda v: F.floor(v / side).cast("long")
+    span = lambda a, b: F.sequence(at(F.least(a, b) - side), at(F.greatest(a, b) + side))
     seg = seg.withColumn("cx", F.explode(span(F.col("x1"), F.col("x2")))).withColumn("cy", F.explode(span(F.col("y1"), F.col("y2"))))
-    reg = reg.withColumn("cx", cell(F.col("mx"), size)).withColumn("cy", cell(F.col("my"), size))
-    both = seg.join(reg, ["cx", "cy"]).withColumn("dot", F.col("ux") * F.col("vx") + F.col("uy") * F.col("vy"))
+    reg = reg.withColumn("cx", at(F.col("mx"))).withColumn("cy", at(F.col("my")))
+    both = seg.join(reg, ["level", "cx", "cy"]).withColumn("dot", F.col("ux") * F.col("vx") + F.col("uy") * F.col("vy"))
     both = both.withColumn("along", (F.col("mx") - F.col("x1")) * F.col("ux") + (F.col("my") - F.col("y1")) * F.col("uy"))
     both = both.withColumn("off", F.abs((F.col("mx") - F.col("x1")) * F.col("uy") - (F.col("my") - F.col("y1")) * F.col("ux")))
     overlap = F.least(F.col("len"), F.col("along") + F.col("rlen") / 2) - F.greatest(F.lit(0.0), F.col("along") - F.col("rlen") / 2)

@@ -13,7 +13,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("validation", "observation", "geometry", "joins", "network", "reports", "regions", "shapes", "cascades", "topology")
+_MODULES = ("validation", "observation", "geometry", "joins", "network", "reports", "regions", "shapes", "cascades", "topology", "records")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

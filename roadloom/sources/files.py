@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.functions.geo import point
@@ -16,11 +16,16 @@ FOOT_WAYS = ("footway", "path", "cycleway", "steps", "pedestrian")
 def read_ways(spark: SparkSession, path: str) -> DataFrame:
     """(id, tags, line, oneway) of ways in JSON extracts; foot ways and ways of fewer than two vertices go, and a way
     that is one-way against its vertices is turned. Relations and elements without tags are left out."""
-    rows = spark.read.schema(_ELEMENTS).option("multiLine", True).json(path).select(F.explode("elements").alias("e")).select("e.*")
-    ways = rows.where((F.col("type") == "way") & F.col("tags").isNotNull() & (F.size("geometry") >= 2) & ~F.coalesce(F.col("tags")["highway"].isin(*FOOT_WAYS), F.lit(False)))
+    return ways(spark.read.schema(_ELEMENTS).option("multiLine", True).json(path).select(F.explode("elements").alias("e")))
+
+
+def ways(elements: DataFrame) -> DataFrame:
+    """The rows of ``read_ways`` of elements in a column ``e``."""
+    rows = elements.select("e.*")
+    kept = rows.where((F.col("type") == "way") & F.col("tags").isNotNull() & (F.size("geometry") >= 2) & ~F.coalesce(F.col("tags")["highway"].isin(*FOOT_WAYS), F.lit(False)))
     line = F.transform("geometry", lambda p: point(p["lon"], p["lat"]))
     oneway = F.col("tags")["oneway"]
-    return ways.select("id", "tags", F.when(oneway == "-1", F.reverse(line)).otherwise(line).alias("line"), F.coalesce(oneway.isin("-1", "yes", "1"), F.lit(False)).alias("oneway"))
+    return kept.select("id", "tags", F.when(oneway == "-1", F.reverse(line)).otherwise(line).alias("line"), F.coalesce(oneway.isin("-1", "yes", "1"), F.lit(False)).alias("oneway"))
 
 
 def parse_pos_list(text, least: int = 4):
@@ -38,6 +43,23 @@ def read_wide_csv(spark: SparkSession, path: str, columns: list[str], encoding:
     return rows.select(*[F.col(f"`{c}`") for c in columns]).where(" and ".join(f"`{c}` is not null" for c in columns))
 
 
+def csv_fields(line: Column) -> Column:
+    """The fields of one CSV line; commas inside quotes part nothing, quotes go and doubled ones count once."""
+    fields = F.split(line, ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(fields, lambda f: F.replace(F.regexp_replace(f, '^"|"$', ""), F.lit('""'), F.lit('"')))
+
+
+def log_rows(lines: DataFrame, positions: dict[str, int], least: int, numeric: tuple[str, ...]) -> DataFrame:
+    """Columns of log lines (value) by position, those of ``numeric`` as doubles. Lines of fewer than ``least`` fields go,
+    and so do lines whose numeric fields are blank or no finite number (a header among them); null lines too."""
+    rows = lines.select(csv_fields(F.col("value")).alias("f")).where(F.size("f") >= least)
+    text = {name: F.get("f", F.lit(at)) for name, at in positions.items()}
+    typed = rows.select(*[(F.trim(c).try_cast("double") if name in numeric else c).alias(name) for name, c in text.items()])
+    for name in numeric:
+        typed = typed.where(F.col(name).isNotNull() & ~F.isnan(name) & (F.abs(name) != float("inf")))
+    return typed
+
+
 def checksums(spark: SparkSession, path: str) -> DataFrame:
     """(name, bytes, sha256) of the files at a path."""
     rows = spark.read.format("binaryFile").load(path)

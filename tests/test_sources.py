@@ -41,6 +41,14 @@ def test_wide_csv_selects_by_name_and_drops_short_rows(spark, tmp_path):
     assert got == {('x, "y"', "1"), ("z", "4")}
 
 
+def test_log_rows_by_position(spark):
+    lines = ["at,code,n,v", 'x,"a, ""b""",1,2.5', "x,y,1", "x,y,,3", "x,y,1,", "x,y,q,3", "x,y,NaN,3", "x,y, 7 ,Infinity", "x,y, 7 ,3,more", "", None]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    got = [tuple(r) for r in files.log_rows(df, {"code": 1, "n": 2, "v": 3}, 4, ("n", "v")).collect()]
+    assert got == [('a, "b"', 1.0, 2.5), ("y", 7.0, 3.0)]
+    assert files.log_rows(df.limit(0), {"n": 0}, 1, ("n",)).count() == 0
+
+
 def test_checksums_and_layers(spark, tmp_path):
     (tmp_path / "f").mkdir()
     for name in ("one", "two", "three"):
@@ -61,8 +69,8 @@ def test_hop_cap_cuts_and_leads_out(spark):
 
 
 def test_town_keys_and_projection(spark):
-    df = spark.createDataFrame([("旭ケ丘一丁目",), ("八軒一条西１丁目",), ("円山西町（番地）",), ("二三線",), (None,)], "t string")
-    assert [r[0] for r in df.select(town_key(F.col("t"))).collect()] == ["旭ケ丘1丁目", "八軒1条西1丁目", "円山西町", "3線", None]
+    df = spark.createDataFrame([("旭ケ丘一丁目",), ("八軒一条西１丁目",), ("円山西町（番地）",), ("二三線",), ("ﾊﾁｹﾝ①丁目",), (None,)], "t string")
+    assert [r[0] for r in df.select(town_key(F.col("t"))).collect()] == ["旭ケ丘1丁目", "八軒1条西1丁目", "円山西町", "3線", "ハチケン1丁目", None]
     at = spark.createDataFrame([(142.25, 44.0), (141.35, 43.06)], "lon double, lat double")
     x, y = G.project(F.col("lon"), F.col("lat"), 142.25, 44.0)
     near, far = at.select("lon", "lat", x.alias("x"), y.alias("y")).collect()
