@@ -24,7 +24,7 @@ from roadloom.llm.common import bound_batches
 
 MARK = "▁"
 #: Words, or junctions, that a worker remembers.
-MEMO = 120_000
+MEMO = 250_000
 
 
 class Memo(dict):
