@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +19,22 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
+def bytes_of(setting: str) -> int:
+    """The number that a size in Spark's notation stands for: ``4194304``, ``64m``, ``1 GB``; no unit means bytes."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([a-z]*)\s*", setting.lower()).groups()
+    return int(number) << 10 * "bkmgtp".index(unit[:1] or "b")
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lowers the session's limits on Arrow batches to BATCH_ROWS and BATCH_BYTES where they are wider.
 
     A batch is held by the JVM and by its Python worker at once, and texts of megabytes come in any table; the operators
-    here gain nothing from batches beyond this.
+    here gain nothing from batches beyond this. Frames are lazy and Spark reads the limits when a frame runs, so they
+    stay lowered in the session that the operators were given.
     """
     for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        now = int(str(spark.conf.get(key)).rstrip("b"))
-        if now <= 0 or now > most:
+        if not 0 < bytes_of(str(spark.conf.get(key))) <= most:
             spark.conf.set(key, str(most))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadloom.llm.exact_dedup import exact_dedup
+from roadloom.llm.filter_audit import filter_audit
 from roadloom.llm.line_dedup import line_dedup
 from roadloom.llm.packing import best_fit_packing
 from roadloom.llm.quality_classifier import quality_scores
@@ -111,8 +112,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out())
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_url_filter, op2_exact_dedup, op3_tool_calls, op4_quality_rules, op5_sentencepiece_fst, op6_simhash, op7_best_fit_packing, op8_sharding, op9_line_dedup, op10_quality_classifier)
+    found = (
+        op1_url_filter, op2_exact_dedup, op3_tool_calls, op4_quality_rules, op5_sentencepiece_fst, op6_simhash, op7_best_fit_packing,
+        op8_sharding, op9_line_dedup, op10_quality_classifier, op13_filter_audit,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -165,5 +173,41 @@ from keyed d left join frequent f on d.k = f.k group by d.doc_id
 """
 
 
+_OP13 = r"""
+with base as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, min(doc_id) over (partition by coalesce(text, '')) as first,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), mark as (
+  select doc_id, max(cast(quality is not distinct from 1 as int)) as good, max(cast(toxic is not distinct from 1 as int)) as toxic
+  from labels where doc_id is not null group by doc_id
+), failed as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, case when len(words) < 100 then 'A' else '' end
+    || case when 100 * len(list_distinct(words)) < 80 * len(words) then 'B' else '' end
+    || case when 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) then 'C' else '' end
+    || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end || case when first < doc_id then 'E' else '' end as fails
+  from base left join mark using (doc_id)
+), letter as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order from letter a, letter b, letter c, letter d, letter e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), steps as (
+  select filter_order, s as step, substr(filter_order, s, 1) as f, substr(filter_order, 1, s - 1) as before from orders, (select unnest([1, 2, 3, 4, 5]) as s)
+), counted as (
+  select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from failed group by all
+), met as (
+  select c.*, s.*, contains(fails, f) as fail, translate(fails, before, '') <> fails as gone from counted c, steps s
+), found as (
+  select part, filter_order, step, f, coalesce(sum(n) filter (not fail and not gone), 0) as kept, coalesce(sum(n) filter (fail and not gone), 0) as removed,
+    coalesce(sum(n) filter (fail and gone), 0) as redundant, coalesce(sum(n) filter (fails = f), 0) as unique_fails,
+    coalesce(sum(good) filter (fail and not gone), 0) as good_lost, coalesce(sum(toxic) filter (fail and not gone), 0) as toxic_lost
+  from met group by all
+)
+select part, filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+  cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+  cast(sum(removed) over (partition by part, f) as bigint) as shapley
+from found
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op4_quality_rules": _OP4, "op9_line_dedup": _OP9}
+    return {"op2_exact_dedup": _OP2, "op4_quality_rules": _OP4, "op9_line_dedup": _OP9, "op13_filter_audit": _OP13}
