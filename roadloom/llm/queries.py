@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,8 @@ from roadloom.llm.sharding import shuffled_shards
 from roadloom.llm.simhash import near_dedup
 from roadloom.llm.tool_calls import link_tool_calls
 from roadloom.llm.url_filter import UrlRule, rule_labelled, url_filter
+from roadloom.llm.warc import archived
+from roadloom.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -112,6 +115,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out())
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archived(table(spark, sf_dir, "pages"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -119,7 +127,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_url_filter, op2_exact_dedup, op3_tool_calls, op4_quality_rules, op5_sentencepiece_fst, op6_simhash, op7_best_fit_packing,
-        op8_sharding, op9_line_dedup, op10_quality_classifier, op13_filter_audit,
+        op8_sharding, op9_line_dedup, op10_quality_classifier, op11_warc, op13_filter_audit,
     )
     return {f.__name__: f for f in found}
 
@@ -173,6 +181,18 @@ from keyed d left join frequent f on d.k = f.k group by d.doc_id
 """
 
 
+_OP11 = r"""
+with base as (
+  select page_id, sha1(coalesce(html, '')) as hex, strlen(coalesce(html, '')) as payload_bytes, min(page_id) over (partition by coalesce(html, '')) as first from pages
+), digits as (
+  select page_id, payload_bytes, first, list_transform(range(8), i -> cast('0x' || substr(hex, cast(i * 5 + 1 as int), 5) as int)) as fives from base
+)
+select page_id, payload_bytes, list_reduce(list_transform(fives, v -> list_reduce(list_transform([15, 10, 5, 0],
+    b -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> b) & 31) + 1, 1)), (x, y) -> x || y)), (x, y) -> x || y) as payload_digest,
+  case when first <> page_id then 'revisit' else 'response' end as record_type, case when first <> page_id then first end as refers_to, true as intact
+from digits
+"""
+
 _OP13 = r"""
 with base as (
   select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, min(doc_id) over (partition by coalesce(text, '')) as first,
@@ -210,4 +230,4 @@ from found
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op4_quality_rules": _OP4, "op9_line_dedup": _OP9, "op13_filter_audit": _OP13}
+    return {"op2_exact_dedup": _OP2, "op4_quality_rules": _OP4, "op9_line_dedup": _OP9, "op11_warc": _OP11, "op13_filter_audit": _OP13}
