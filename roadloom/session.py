@@ -35,16 +35,17 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpointed(df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+def checkpointed(df: DataFrame, instead_of: DataFrame | None = None, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read from there, so that a lost executor costs no lineage.
 
     A table that is read has sizes of its own. A checkpointed plan keeps the estimates of the plan behind it, and in a loop
     of joins these multiply with each round until planning takes longer than the work. ``instead_of`` is an earlier frame
     of this function that nothing reads any more; its files go, so a loop leaves one table and not one for each round.
+    ``partition_by`` names columns of which each value gets a folder, so that a round can read its own part alone.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/frame-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._frame_path = path
     old = getattr(instead_of, "_frame_path", None) if instead_of is not None else None
