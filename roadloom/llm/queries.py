@@ -17,6 +17,7 @@ from roadloom.llm.quality_rules import quality_rules
 from roadloom.llm.sentencepiece_fst import encode_documents
 from roadloom.llm.sharding import shuffled_shards
 from roadloom.llm.simhash import near_dedup
+from roadloom.llm.spelling import spelling_variants
 from roadloom.llm.tool_calls import link_tool_calls
 from roadloom.llm.url_filter import UrlRule, rule_labelled, url_filter
 from roadloom.llm.warc import archived
@@ -120,6 +121,10 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -127,7 +132,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_url_filter, op2_exact_dedup, op3_tool_calls, op4_quality_rules, op5_sentencepiece_fst, op6_simhash, op7_best_fit_packing,
-        op8_sharding, op9_line_dedup, op10_quality_classifier, op11_warc, op13_filter_audit,
+        op8_sharding, op9_line_dedup, op10_quality_classifier, op11_warc, op12_spelling_variants, op13_filter_audit,
     )
     return {f.__name__: f for f in found}
 
