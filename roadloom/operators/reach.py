@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roadloom.functions.text import base_id
+from roadloom.operators.components import BLOCK_ARCS, reach, strong_components
 from roadloom.session import checkpointed
 
 _LABELS = "node long, block long, dist long, leaves boolean"
@@ -80,39 +81,23 @@ def exit_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node").join(paths.select("node", "path"), "node", "left").select("node", F.coalesce("path", empty).alias("path"))
 
 
-def entry_exit_reach(edges: DataFrame, nodes: DataFrame, entries: DataFrame) -> DataFrame:
+def entry_exit_reach(edges: DataFrame, nodes: DataFrame, entries: DataFrame, block_arcs: int = BLOCK_ARCS) -> DataFrame:
     """(node, is_entry, is_exit, from_entry, to_exit) of nodes (node, block): whether any of ``entries`` (node) leads there
-    and whether an exit, a node that nothing follows, can be reached. One closure each way, none per entry."""
-    ends = nodes.select("node").join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    and whether an exit, a node that nothing follows, can be reached. Both ways are walked at once, none per entry."""
+    ends = checkpointed(nodes.select("node").join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti"))
+    starts = entries.select(F.lit(0).alias("dir"), "node").union(ends.select(F.lit(1), "node"))
+    found = reach(edges, nodes, starts, block_arcs).groupBy("node").agg(*[F.max(F.col("dir") == d).alias(c) for d, c in enumerate(("from_entry", "to_exit"))])
     flag = lambda df, name: df.select("node").distinct().withColumn(name, F.lit(True))
-    rows = nodes.select("node")
-    for df, name in ((entries, "is_entry"), (ends, "is_exit"), (hops_from(edges, entries, nodes), "from_entry"), (hops_from(back, ends, nodes), "to_exit")):
-        rows = rows.join(flag(df, name), "node", "left")
+    rows = nodes.select("node").join(found, "node", "left").join(flag(entries, "is_entry"), "node", "left").join(flag(ends, "is_exit"), "node", "left")
     return rows.select("node", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("is_entry", "is_exit", "from_entry", "to_exit")])
 
 
-def largest_scc(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node) of the largest set of nodes (node, block) of which each can be reached from each along edges (src, dst).
-
-    The pivot is the node with most ways through it; its set is what it reaches and what reaches it. Unless that set is as
-    large as all nodes left over, the others are tried in the same way. Of equal sets the first found stays.
-    """
-    rest, best, size = checkpointed(nodes.select("node", "block")), None, 0
-    while True:
-        inside = edges.select("src", "dst").join(rest.select(F.col("node").alias("src")), "src", "left_semi").join(rest.select(F.col("node").alias("dst")), "dst", "left_semi")
-        inside = checkpointed(inside)
-        ways = inside.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("n")).join(inside.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("m")), "node", "left")
-        pivot = rest.select("node").join(ways, "node", "left").agg(F.max(F.struct((F.coalesce("n", F.lit(0)) * F.coalesce("m", F.lit(0))).alias("w"), (-F.col("node")).alias("k"))).alias("p")).select((-F.col("p.k")).alias("node")).where("node is not null")
-        pivot = checkpointed(pivot)
-        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        own = checkpointed(hops_from(inside, pivot, rest).select("node").join(hops_from(back, pivot, rest).select("node"), "node"))
-        n = own.count()
-        if n > size:
-            best, size = own, n
-        rest = checkpointed(rest.join(own, "node", "left_anti"), instead_of=rest)
-        if rest.count() <= size or n == 0:
-            return own if best is None else best
+def largest_scc(edges: DataFrame, nodes: DataFrame, block_arcs: int = BLOCK_ARCS) -> DataFrame:
+    """(node) of the largest set of nodes (node, block) of which each can be reached from each along edges (src, dst); of
+    equal sets the one with the smallest node."""
+    found = checkpointed(strong_components(edges, nodes, block_arcs))
+    largest = found.groupBy("component").agg(F.count("*").alias("n")).agg(F.max(F.struct("n", (-F.col("component")).alias("k"))).alias("m")).select((-F.col("m.k")).alias("component"))
+    return found.join(largest, "component").select("node")
 
 
 def cap_hops(routes: DataFrame, paths: DataFrame, max_hops: int) -> DataFrame:

@@ -17,6 +17,7 @@ from roadloom.plans.regions import _IN_SQL, gates
 from roadloom.plans.registry import query
 from roadloom.plans.shapes import _C, _S, c19_link_axis
 from roadloom.plans.validation import dec_sql
+from roadloom.session import checkpointed
 from roadloom.sources.fixtures import table, view
 
 #: Side of the blocks in which the network is walked, and of the cells that get values by area.
@@ -166,7 +167,7 @@ def interior_contacts(lines: DataFrame, nodes: DataFrame, tol: float = 0.5) -> D
 
 def successors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """((src, dst), (node, block)): the edges that may follow an edge, the way back left out, and the block of each edge."""
-    e = edges(spark, sf_dir)
+    e = checkpointed(edges(spark, sf_dir))
     after = e.select(F.col("eid").alias("dst"), F.col("frm").alias("to"))
     pairs = e.select(F.col("eid").alias("src"), "to", "linked_edge").join(after, "to").where("linked_edge is null or dst <> linked_edge").select("src", "dst")
     place = F.floor(F.col("x1") / BLOCK_M) * 1_000_000 + F.floor(F.col("y1") / BLOCK_M)
