@@ -10,7 +10,7 @@ from roadloom.functions.stats import dec
 from roadloom.operators.graph import connected_components
 from roadloom.operators.reach import cap_hops
 from roadloom.operators.spatial_join import around, cell, distance_pairs
-from roadloom.plans.network import _CC_SQL, _EDGES_SQL, _sub_links, all_links, edges
+from roadloom.plans.network import _CC_SQL, _EDGES_SQL, all_links, edges
 from roadloom.plans.regions import REGION, inside, k02_zones
 from roadloom.plans.registry import _SQL, query
 from roadloom.plans.shapes import doubles
@@ -207,14 +207,8 @@ def j02_tolerance_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 n as (select nid, component = top as is_main, {_REGION_SQL} as is_in, {_REGION_SQL} and (x <= {REGION[0] + BORDER_M} or x >= {REGION[2] - BORDER_M} or y <= {REGION[1] + BORDER_M} or y >= {REGION[3] - BORDER_M}) as near from comp join fx_nodes using (nid), main),
 deg as (select nid, count(*) as degree from (select unnest([a, b]) as nid from l) group by 1)
 select count(*) as nodes, count(case when is_main then 1 end) as main_nodes, (select count(*) from size) as components, count(case when not is_in or near then 1 end) as boundary, coalesce(bool_and(is_main) filter (not is_in or near), true) as boundary_in_main, count(case when is_in and not near and degree = 1 then 1 end) as dead_ends from n join deg using (nid)""")
-def j09_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes, boundary nodes (outside or near the border), whether all of these are in the main component, dead ends inside."""
-    return acceptance(_sub_links(spark, sf_dir), view(spark, sf_dir, "fx_nodes"))
-
-
-@query(None)
 def j09_whole_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The figures of ``j09_acceptance`` over all links."""
+    """Sizes, boundary nodes (outside or near the border), whether all of these are in the main component, dead ends inside."""
     return acceptance(all_links(spark, sf_dir), view(spark, sf_dir, "fx_nodes"))
 
 

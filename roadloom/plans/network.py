@@ -110,24 +110,15 @@ def j07_grade_separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "fx_links").select("link_id", F.col("state").isin("2", "3").alias("separated"))
 
 
-_CC_SQL = """l as (select a, b from fx_links where category <> 2 or a % 3 = 0), e as (select a as u, b as v from l union select b, a from l),
-walk as (select u as nid, u as root from e union select e.v, w.root from walk w join e on e.u = w.nid where w.root < e.v), comp as (select nid, min(root) as component from walk group by 1)"""
-
-
-def _sub_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "fx_links").where("category <> 2 or a % 3 = 0").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+_CC_SQL = """l as (select a, b from fx_links), e as (select a as u, b as v from l union select b, a from l),
+comp(nid, component) using key (nid) as (select u, u from e union select e.v, min(c.component) from comp c join e on e.u = c.nid
+  join recurring.comp r on r.nid = e.v where c.component < r.component group by e.v)"""
 
 
 @query(f"""with recursive {_CC_SQL}, size as (select component, count(*) as size from comp group by 1)
 select nid, component, size, component = (select arg_min(component, (-size, component)) from size) as is_main from comp join size using (component)""")
-def j08_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of a thinned network, as the SQL has it, and whether each is the largest; ``j08_whole_components`` has all links."""
-    return sized_components(_sub_links(spark, sf_dir))
-
-
-@query(None)
 def j08_whole_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of all links and whether each is the largest; tested against a union-find."""
+    """Components of all links and whether each is the largest; a test has a network of several."""
     return sized_components(all_links(spark, sf_dir))
 
 

@@ -146,15 +146,13 @@ def j05_short_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("link_id", "a", "b", "length", "category", F.size("ids").alias("parts"))
 
 
-@query("""with k as (select link_id, x1, y1, unnest(range(1, 26)) as k from fx_links where state in ('2', '3')), v as (select link_id, x1 + k as vx, y1 + k // 2 as vy from k)
-select link_id, sign_id, vx, vy from v join fx_signs s on s.x = vx and s.y = vy""")
+@query("""select link_id, nid, x2 + link_id % 3 as vx, y2 as vy from fx_links join fx_nodes n on abs(n.x - x2 - link_id % 3) <= 0.5 and n.y = y2 where state in ('2', '3')""")
 def j07_interior_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points within half a metre of an inner vertex of a bridge or tunnel."""
+    """Nodes within half a metre of the bend of a bridge or tunnel that leads on past its second end."""
     at = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
-    bends = F.transform(F.sequence(F.lit(1), F.lit(25)), lambda k: at(F.col("x1") + k, F.col("y1") + F.floor(k / 2)))
-    line = F.concat(F.array(at(F.col("x1"), F.col("y1"))), bends, F.array(at(F.col("x2"), F.col("y2"))))
+    line = F.array(at(F.col("x1"), F.col("y1")), at(F.col("x2") + F.col("link_id") % 3, F.col("y2")), at(F.col("x2") + 130, F.col("y2") + 60))
     lines = view(spark, sf_dir, "fx_links").where("state in ('2', '3')").select("link_id", line.alias("line"))
-    return interior_contacts(lines, view(spark, sf_dir, "fx_signs").select(F.col("sign_id").alias("nid"), "x", "y")).select("link_id", F.col("nid").alias("sign_id"), "vx", "vy")
+    return interior_contacts(lines, view(spark, sf_dir, "fx_nodes").select("nid", "x", "y"))
 
 
 def interior_contacts(lines: DataFrame, nodes: DataFrame, tol: float = 0.5) -> DataFrame:
