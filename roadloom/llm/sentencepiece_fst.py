@@ -290,15 +290,19 @@ def encode_documents(docs: DataFrame, model: str | None = None, keep_ids: bool =
         byte_ids = np.zeros(len(fst.pieces), bool)
         byte_ids[list(fst.byte_of)] = True
         for batch in batches:
-            rows = []
+            rows, raws, ends = [], [], [0]
             for text in batch.column(1):
                 text = text.as_py() or ""
                 raw = fst.encode_bytes(text)
                 a = np.frombuffer(raw, "<u4")
-                own = (len(a), int(byte_ids[a].sum()), zlib.crc32(raw), fst.decode(a.tolist()) == text)
-                rows.append(((a.astype(np.int32),) if keep_ids else ()) + own)
-            cols = list(zip(*rows, strict=True)) if rows else [()] * (len(fields) - 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64())] + [pa.array(c, f.type) for c, f in zip(cols, list(schema)[1:], strict=True)], schema=schema)
+                rows.append((len(a), int(byte_ids[a].sum()), zlib.crc32(raw), fst.decode(a.tolist()) == text))
+                ends.append(ends[-1] + len(a))
+                if keep_ids:
+                    raws.append(raw)
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            ids = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raws), "<i4")))] if keep_ids else []
+            own = [pa.array(c, f.type) for c, f in zip(cols, list(schema)[-4:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *ids, *own], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
 

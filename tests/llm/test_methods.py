@@ -14,7 +14,10 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from roadloom.llm import packing as P
+from roadloom.llm import sharding
 from roadloom.llm import queries as Q
+from roadloom.llm.common import bound_batches, bytes_of
+from roadloom.llm.line_dedup import line_dedup
 from roadloom.llm.quality_classifier import train
 from roadloom.llm.quality_rules import Rule, base_rules, default_rules, order_rules, rule_costs
 from roadloom.llm.sentencepiece_fst import Transducer
@@ -300,3 +303,44 @@ def test_pipeline_equals_brute_force(spark):
     for r in rows:
         fill[r["sequence_id"]] += r["length"]
     assert max(fill.values()) <= 1024 and len(fill) >= -(-sum(length.values()) // 1024)
+
+
+def test_sizes_in_sparks_units(spark):
+    assert [bytes_of(x) for x in ("64m", "4194304", "64MB", "-1", " 1 g ", "5b", "2kb")] == [64 << 20, 4 << 20, 64 << 20, -1, 1 << 30, 5, 2048]
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        bound_batches(spark)
+        assert spark.conf.get(key) == str(4 << 20)
+        spark.conf.set(key, "1m")
+        bound_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_shards_with_fewer_partitions_than_buckets(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 50, f"text {i % 70}") for i in range(600)], "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(sharding, "MOST_PARTITIONS", 2)
+    out = sharding.shuffled_shards(docs, 7, bucket_bytes=200)
+    assert out.rdd.getNumPartitions() <= 2
+    rows = out.collect()
+    assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in docs.collect())
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and {len(s) for s in slots.values()} <= {85, 86}
+
+
+def test_lines_of_rows_without_id_are_dropped_by_row(spark):
+    """A third of the rows have no doc_id; each loses its own lines only."""
+    common = "a line that every document holds"
+    rows = [(None if i % 3 == 0 else i, f"{common}\nline of document {i} and of no other\n{common}") for i in range(300)]
+    docs = spark.createDataFrame(rows + [(None, "short")] * 50, "doc_id long, text string").repartition(5)
+    got = line_dedup(docs)
+    assert not [n for n, f in line_dedup(docs.limit(0)).dtypes if n not in got.columns]
+    found = Counter((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in got.collect())
+    want = Counter((i, 3, 0 if i == 299 else 2, t if i == 299 else t.split("\n")[1]) for i, t in rows)
+    want[None, 1, 0, "short"] = 50
+    assert found == want
