@@ -32,6 +32,29 @@ def directed_segments(line: Column, least: float = 1e-9) -> Column:
     return F.transform(F.filter(own, lambda s: s["len"] >= least), lambda s: F.struct(s["mx"], s["my"], (s["dx"] / s["len"]).alias("ux"), (s["dy"] / s["len"]).alias("uy"), s["len"]))
 
 
+def measured(line: Column) -> Column:
+    """array<struct<x1, y1, x2, y2, len, d>>: the segments with any length and how far along the line each begins."""
+    own = F.transform(segments(line), lambda s: F.struct(s["x1"], s["y1"], s["x2"], s["y2"], hypot(s["x2"] - s["x1"], s["y2"] - s["y1"]).alias("len")))
+    kind = "array<struct<x1:double,y1:double,x2:double,y2:double,len:double,d:double>>"
+    step = lambda a, s: F.struct(
+        (a["d"] + s["len"]).alias("d"), F.concat(a["out"], F.array(F.struct(s["x1"], s["y1"], s["x2"], s["y2"], s["len"], a["d"].alias("d")))).alias("out")
+    )
+    start = F.struct(F.lit(0.0).alias("d"), F.array().cast(kind).alias("out"))
+    return F.aggregate(F.filter(own, lambda s: s["len"] > 1e-9), start, step, lambda a: a["out"])
+
+
+def measured_length(segs: Column) -> Column:
+    """The length of a line of measured segments; 0 without any."""
+    last = F.element_at(segs, -1)
+    return F.when(F.size(segs) > 0, last["d"] + last["len"]).otherwise(F.lit(0.0))
+
+
+def at_distance(segs: Column, d: Column) -> Column:
+    """struct<x, y>: the point ``d`` along a line of measured segments, its ends for a ``d`` beyond them; null without any."""
+    own = F.coalesce(F.try_element_at(F.filter(segs, lambda s: s["d"] <= d), F.lit(-1)), F.get(segs, 0))
+    return F.transform(F.array(own), lambda s: F.transform(F.array(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (d - s["d"]) / s["len"]))), lambda t: point(s["x1"] + t * (s["x2"] - s["x1"]), s["y1"] + t * (s["y2"] - s["y1"])))[0])[0]
+
+
 def bearing(dx: Column, dy: Column) -> Column:
     """Degrees clockwise from north in [0, 360)."""
     return F.pmod(F.degrees(F.atan2(dx, dy)), F.lit(360.0))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadloom.functions.geo import hypot, point_segment_distance
+from roadloom.functions.geo import hypot, measured, point, point_segment_distance
 
 
 def cell(v: Column, size: float) -> Column:
@@ -46,27 +46,38 @@ def nearest_incident(points: DataFrame, links: DataFrame) -> DataFrame:
     return points.join(ends, "nid").groupBy("pid").agg(F.min(F.struct(d.alias("dist"), F.col("link_id"))).alias("b")).select("pid", F.col("b.link_id").alias("link_id"), F.col("b.dist").alias("dist"))
 
 
+def match_segments(df: DataFrame, key: str) -> DataFrame:
+    """(key, x1, y1, x2, y2, ux, uy, len, total): the directed segments of rows with polylines ``parts`` (array of lines), or
+    with one straight line x1, y1, x2, y2, and the length of all segments of the row."""
+    if "parts" not in df.columns:
+        df = df.select(key, F.array(F.array(point(F.col("x1"), F.col("y1")), point(F.col("x2"), F.col("y2")))).alias("parts"))
+    segs = F.flatten(F.transform("parts", measured))
+    rows = df.select(key, segs.alias("segs")).withColumn("total", F.aggregate("segs", F.lit(0.0), lambda a, s: a + s["len"]))
+    rows = rows.select(key, "total", F.explode("segs").alias("s")).select(key, "total", "s.x1", "s.y1", "s.x2", "s.y2", "s.len")
+    return rows.withColumn("ux", (F.col("x2") - F.col("x1")) / F.col("len")).withColumn("uy", (F.col("y2") - F.col("y1")) / F.col("len"))
+
+
 def line_match(links: DataFrame, features: DataFrame, buffer: float, dot_min: float = 0.85) -> DataFrame:
-    """(link_id, reg_id, cover, dots) of straight links and features (x1, y1, x2, y2).
+    """(link_id, reg_id, cover, dots, len) of links and features, both with polylines ``parts`` or straight (x1, y1, x2, y2).
 
     A feature's segment covers a link's where they are near parallel, the feature's middle is within ``buffer`` of the
-    link's line, and their spans overlap along it. Each link goes to all cells that its box touches, widened by a cell, each
-    feature to the cell of its middle, so the equi-join loses no pair. The cells have a side of eight buffers, doubled
-    for features too long for it, so that a long feature widens the search for its own length class alone.
+    link's line, and their spans overlap along it. Cover is summed over all segments of the link and all parts of the
+    feature, and ``len`` is the link's whole length, that of segments without cover included. Each link segment goes to
+    all cells that its box touches, widened by a cell, each feature segment to the cell of its middle, so the equi-join
+    loses no pair. The cells have a side of eight buffers, doubled for features too long for it, so that a long feature
+    widens the search for its own length class alone.
     """
     size = buffer * 8
-    dbl = lambda df, *cols: df.select(*[F.col(c).cast("double").alias(c) if c in ("x1", "y1", "x2", "y2") else F.col(c) for c in cols])
-    seg = dbl(links, "link_id", "x1", "y1", "x2", "y2").withColumn("len", hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).where("len > 1e-9")
-    seg = seg.withColumn("ux", (F.col("x2") - F.col("x1")) / F.col("len")).withColumn("uy", (F.col("y2") - F.col("y1")) / F.col("len"))
-    reg = dbl(features, "reg_id", "x1", "y1", "x2", "y2").withColumn("rlen", hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))).where("rlen > 1e-9")
-    reg = reg.select("reg_id", ((F.col("x1") + F.col("x2")) / 2).alias("mx"), ((F.col("y1") + F.col("y2")) / 2).alias("my"), ((F.col("x2") - F.col("x1")) / F.col("rlen")).alias("vx"), ((F.col("y2") - F.col("y1")) / F.col("rlen")).alias("vy"), "rlen")
+    seg = match_segments(links, "link_id")
+    reg = match_segments(features, "reg_id")
+    reg = reg.select("reg_id", ((F.col("x1") + F.col("x2")) / 2).alias("mx"), ((F.col("y1") + F.col("y2")) / 2).alias("my"), F.col("ux").alias("vx"), F.col("uy").alias("vy"), F.col("len").alias("rlen"))
     # A feature's middle may lie up to half its length before or after the link, so the link's box grows by that much. Each
     # feature has the least level whose cells are no smaller, and a link meets the features of a level in cells of that level.
     need = F.col("rlen") / 2 + buffer
     reg = reg.withColumn("level", F.greatest(F.ceil(F.log2(need / size)), F.lit(0)).cast("int"))
-    # At most one row for each doubling of the length.
-    levels = sorted(r[0] for r in reg.select("level").distinct().collect())
-    seg = seg.withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    # The levels there are come along in one row, at most one for each doubling of the length.
+    levels = reg.agg(F.collect_set("level").alias("levels"))
+    seg = seg.join(F.broadcast(levels)).withColumn("level", F.explode("levels")).drop("levels")
     side = F.pow(F.lit(2.0), F.col("level")) * size
     at = lambda v: F.floor(v / side).cast("long")
     span = lambda a, b: F.sequence(at(F.least(a, b) - side), at(F.greatest(a, b) + side))
@@ -77,7 +88,7 @@ def line_match(links: DataFrame, features: DataFrame, buffer: float, dot_min: fl
     both = both.withColumn("off", F.abs((F.col("mx") - F.col("x1")) * F.col("uy") - (F.col("my") - F.col("y1")) * F.col("ux")))
     overlap = F.least(F.col("len"), F.col("along") + F.col("rlen") / 2) - F.greatest(F.lit(0.0), F.col("along") - F.col("rlen") / 2)
     near = both.withColumn("overlap", overlap).where((F.abs("dot") >= dot_min) & (F.col("off") <= buffer) & (F.col("overlap") > 0))
-    return near.groupBy("link_id", "reg_id").agg(F.sum("overlap").alias("cover"), F.sum(F.col("dot") * F.col("overlap")).alias("dots"), F.max("len").alias("len"))
+    return near.groupBy("link_id", "reg_id").agg(F.sum("overlap").alias("cover"), F.sum(F.col("dot") * F.col("overlap")).alias("dots"), F.max("total").alias("len"))
 
 
 def best_match(matches: DataFrame, cover_min: float = 0.5) -> DataFrame:

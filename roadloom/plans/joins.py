@@ -9,7 +9,7 @@ from roadloom.functions.stats import dec
 from roadloom.operators import spatial_join as S
 from roadloom.plans.registry import query
 from roadloom.plans.validation import dec_sql
-from roadloom.sources.fixtures import table, view
+from roadloom.sources.fixtures import bent_links, bent_regulations, table, view
 
 _H = "sqrt(cast((s.x - n.x) * (s.x - n.x) + (s.y - n.y) * (s.y - n.y) as double))"
 _NEAR_SQL = f"""near as (select sign_id, px, py, nid, dist from (
@@ -53,18 +53,19 @@ def e25_stop_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "fx_links").join(stops, "link_id", "left_semi").select("link_id", F.col("a").alias("frm"), F.col("b").alias("to_node"))
 
 
-_MATCH_SQL = """seg as (select link_id, cast(x1 as double) as x1, cast(y1 as double) as y1, sqrt(cast((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) as double)) as len, x2, y2 from fx_links),
-s2 as (select *, (x2 - x1) / len as ux, (y2 - y1) / len as uy from seg where len > 1e-9),
-reg as (select reg_id, (cast(x1 as double) + x2) / 2 as mx, (cast(y1 as double) + y2) / 2 as my, sqrt(cast((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) as double)) as rlen, x2 - x1 as dx, y2 - y1 as dy from fx_reglines),
-m as (select link_id, reg_id, len, rlen, ux * (dx / rlen) + uy * (dy / rlen) as dot, (mx - x1) * ux + (my - y1) * uy as along, abs((mx - x1) * uy - (my - y1) * ux) as off
+_MATCH_SQL = """s0 as (select link_id, sx1 as x1, sy1 as y1, sx2 as x2, sy2 as y2, sqrt(cast((sx2 - sx1) * (sx2 - sx1) + (sy2 - sy1) * (sy2 - sy1) as double)) as len from fx_bent),
+s2 as (select *, (x2 - x1) / len as ux, (y2 - y1) / len as uy, sum(len) over (partition by link_id) as total from s0),
+reg as (select reg_id, (cast(sx1 as double) + sx2) / 2 as mx, (cast(sy1 as double) + sy2) / 2 as my, sqrt(cast((sx2 - sx1) * (sx2 - sx1) + (sy2 - sy1) * (sy2 - sy1) as double)) as rlen, sx2 - sx1 as dx, sy2 - sy1 as dy from fx_regbent),
+m as (select link_id, reg_id, len, total, rlen, ux * (dx / rlen) + uy * (dy / rlen) as dot, (mx - x1) * ux + (my - y1) * uy as along, abs((mx - x1) * uy - (my - y1) * ux) as off
   from s2 join reg on mx between least(x1, x2) - 150 and greatest(x1, x2) + 150 and my between least(y1, y2) - 150 and greatest(y1, y2) + 150),
 o as (select *, least(len, along + rlen / 2) - greatest(0.0, along - rlen / 2) as overlap from m),
-pair as (select link_id, reg_id, sum(overlap) as cover, sum(dot * overlap) as dots, max(len) as len from o where abs(dot) >= 0.85 and off <= 15 and overlap > 0 group by 1, 2),
+pair as (select link_id, reg_id, sum(overlap) as cover, sum(dot * overlap) as dots, max(total) as len from o where abs(dot) >= 0.85 and off <= 15 and overlap > 0 group by 1, 2),
 best as (select link_id, reg_id, case when dots > 0 then 1 else -1 end as sign from (select *, row_number() over (partition by link_id order by cover desc, reg_id) as k from pair) where k = 1 and cover >= 0.5 * len)"""
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.line_match(view(spark, sf_dir, "fx_links"), view(spark, sf_dir, "fx_reglines"), 15.0)
+    """Bent links against regulation lines of one or two bent parts."""
+    return S.line_match(bent_links(spark, sf_dir), bent_regulations(spark, sf_dir), 15.0)
 
 
 @query(f"with {_MATCH_SQL} select link_id, reg_id, {dec_sql('cover')} as cover, {dec_sql('dots')} as dots from pair")

@@ -17,7 +17,7 @@ from roadloom.plans.network import _EDGES_SQL, _TURN_SQL, edges
 from roadloom.plans.regions import REGION, gates, j21_has_right_turn
 from roadloom.plans.registry import query
 from roadloom.plans.validation import dec_sql
-from roadloom.sources.fixtures import table, view
+from roadloom.sources.fixtures import bent_links, bent_regulations, table, view
 
 ROUTE_M, ALONG_M, VOTE_M, VOTE_SHARE, DOT_MIN = 120.5, 9.5, 15.0, 0.8, 0.85
 #: Fixed values of the address lattice: block, ordinates of the first streets south and north and of the fourth west.
@@ -165,7 +165,7 @@ _TWO_SQL = _MATCH_SQL.replace("off <= 15", "off <= 4") + ", " + _SECOND_SQL.repl
 union all select link_id, reg_id, 'far' from best2 join fx_links using (link_id) where width_cls between 3 and 5 and link_id not in (select link_id from best)""")
 def e08_two_pass_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A narrow search, then a wide one for the wide links that it left."""
-    links, lines = view(spark, sf_dir, "fx_links"), view(spark, sf_dir, "fx_reglines")
+    links, lines = bent_links(spark, sf_dir), bent_regulations(spark, sf_dir)
     near = S.best_match(S.line_match(links, lines, 4.0)).select("link_id", "reg_id", F.lit("near").alias("pass"))
     rest = links.where("width_cls between 3 and 5").join(near, "link_id", "left_anti")
     return near.unionByName(S.best_match(S.line_match(rest, lines, 15.0)).select("link_id", "reg_id", F.lit("far").alias("pass")))

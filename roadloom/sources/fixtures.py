@@ -5,7 +5,10 @@ Integer arithmetic only, so both engines agree to the bit.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from roadloom.functions.geo import point
 
 NODES = """
 select p_partkey as nid, (p_partkey % 50) * 130 as x, cast(floor(p_partkey / 50) as bigint) * 130 as y,
@@ -48,8 +51,31 @@ ROADS = """
 select link_id as road_id, case when y1 = y2 then x1 else x1 - 4 - width_cls end as rx1, case when y1 = y2 then x2 else x1 + 3 + 2 * width_cls end as rx2,
   case when y1 = y2 then y1 - 4 - width_cls else y1 end as ry1, case when y1 = y2 then y1 + 3 + 2 * width_cls else y2 end as ry2 from fx_links where link_id % 6 <> 5
 """
-VIEWS = {"fx_nodes": NODES, "fx_links": LINKS, "fx_signs": SIGNS, "fx_sensor": SENSOR, "fx_obs": OBS, "fx_flow": FLOW, "fx_reglines": REGLINES, "fx_faces": FACES, "fx_roads": ROADS}
-_BELOW = {"fx_links": ["fx_nodes"], "fx_reglines": ["fx_nodes", "fx_links"], "fx_faces": ["fx_nodes"], "fx_roads": ["fx_nodes", "fx_links"]}
+def _segments_sql(table: str, key: str, where: str, lines: list[tuple[int, str, list[tuple[str, str]]]], end: str = "") -> str:
+    """A row (key, part, k, x1, y1, x2, y2) for each segment of lines given as places (along, across) of straight links."""
+    place = lambda p: f"x1 + case when y1 = y2 then {p[0]} else {p[1]} end, y1 + case when y1 = y2 then {p[1]} else {p[0]} end"
+    rows = []
+    for part, cond, line in lines:
+        for k, (a, b) in enumerate(zip(line, line[1:], strict=False)):
+            for flip in (False, True) if end else (False,):
+                own = f"{place(b)}, {place(a)}" if flip else f"{place(a)}, {place(b)}"
+                names = iter(own.split(", "))
+                cols = ", ".join(f"{next(names)} as {c}" for c in ("sx1", "sy1", "sx2", "sy2"))
+                test = [where, cond, (end if flip else f"not ({end})") if end else ""]
+                rows.append(f"select link_id as {key}, {part} as part, {k} as k, {cols} from {table} where {' and '.join(x for x in test if x) or 'true'}")
+    return " union all ".join(rows)
+
+
+#: Links with two bends, and regulation lines along a fifth of them, of two parts or the first alone, half of them against
+#: the link: places along and across the straight link, in metres.
+LINK_BENDS = [("0", "0"), ("40", "link_id % 5 * 2"), ("90", "(link_id % 7 - 3)"), ("130", "0")]
+REG_PARTS = [(0, "", [("0", "5"), ("20", "6"), ("45", "9")]), (1, "link_id % 15 <> 0", [("60", "6"), ("130", "4")])]
+BENT = _segments_sql("fx_links", "link_id", "", [(0, "", LINK_BENDS)])
+REGBENT = _segments_sql("fx_links", "reg_id", "link_id % 5 = 0", REG_PARTS, end="link_id % 2 = 1")
+
+
+VIEWS = {"fx_nodes": NODES, "fx_links": LINKS, "fx_signs": SIGNS, "fx_sensor": SENSOR, "fx_obs": OBS, "fx_flow": FLOW, "fx_reglines": REGLINES, "fx_faces": FACES, "fx_roads": ROADS, "fx_bent": BENT, "fx_regbent": REGBENT}
+_BELOW = {"fx_links": ["fx_nodes"], "fx_reglines": ["fx_nodes", "fx_links"], "fx_faces": ["fx_nodes"], "fx_roads": ["fx_nodes", "fx_links"], "fx_bent": ["fx_nodes", "fx_links"], "fx_regbent": ["fx_nodes", "fx_links"]}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,3 +109,22 @@ def with_views(sql: str) -> str:
     head = ", ".join(f"{n} as ({VIEWS[n]})" for n in names)
     body = sql.strip()
     return f"with recursive {head}, {body[5:].removeprefix('recursive ')}" if body.lower().startswith("with ") else f"with {head} {body}"
+
+
+def _line(places: list[tuple[str, str]]) -> Column:
+    flat = F.col("y1") == F.col("y2")
+    at = lambda a, b: F.when(flat, F.expr(a)).otherwise(F.expr(b))
+    return F.array(*[point(F.col("x1") + at(a, b), F.col("y1") + at(b, a)) for a, b in places])
+
+
+def bent_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_links with ``line`` and ``parts``, the polyline whose segments fx_bent has."""
+    return view(spark, sf_dir, "fx_links").withColumn("line", _line(LINK_BENDS)).withColumn("parts", F.array("line"))
+
+
+def bent_regulations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(reg_id, parts): the polylines whose segments fx_regbent has."""
+    rows = view(spark, sf_dir, "fx_links").where("link_id % 5 = 0")
+    against = F.col("link_id") % 2 == 1
+    parts = [F.when(F.expr(cond or "true"), F.when(against, F.reverse(_line(line))).otherwise(_line(line))) for _, cond, line in REG_PARTS]
+    return rows.select(F.col("link_id").alias("reg_id"), F.array_compact(F.array(*parts)).alias("parts"))
