@@ -25,11 +25,12 @@ def _bounds(ring: Column) -> list[Column]:
     return [side(F.array_min, "x").alias("_x1"), side(F.array_min, "y").alias("_y1"), side(F.array_max, "x").alias("_x2"), side(F.array_max, "y").alias("_y2")]
 
 
-def spread_faces(faces: DataFrame, reach: float = 0.0) -> DataFrame:
-    """A row of ``faces`` (face_id, ring, ...) for each cell that its box, wider by ``reach``, touches."""
+def spread_faces(faces: DataFrame, reach: float = 0.0, bounds: bool = False) -> DataFrame:
+    """A row of ``faces`` (face_id, ring, ...) for each cell that its box, wider by ``reach``, touches; with the box as _x1,
+    _y1, _x2, _y2 if ``bounds``."""
     boxed = faces.select("*", *_bounds(F.col("ring")))
     rows = boxed.withColumn("cx", _cells(F.col("_x1") - reach, F.col("_x2") + reach)).withColumn("cy", _cells(F.col("_y1") - reach, F.col("_y2") + reach))
-    return rows.drop("_x1", "_y1", "_x2", "_y2")
+    return rows if bounds else rows.drop("_x1", "_y1", "_x2", "_y2")
 
 
 def junction_faces(faces: DataFrame, nodes: DataFrame, max_area: float = JUNCTION_MAX_M2) -> DataFrame:
@@ -71,31 +72,38 @@ def merge_in_faces(nodes: DataFrame, links: DataFrame, faces: DataFrame, separat
 
 
 def probes(links: DataFrame) -> DataFrame:
-    """(link_id, k, px, py, ax, ay, bx, by): places along straight links (link_id, x1, y1, x2, y2), away from both ends,
-    and the line across each. A short link has one place, its middle."""
-    x1, y1, x2, y2 = (F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))
-    size = G.hypot(x2 - x1, y2 - y1)
+    """(link_id, k, px, py, ax, ay, bx, by): places along links (link_id, line), or straight ones (link_id, x1, y1, x2, y2),
+    away from both ends, and the line across each. Distances are along the line, and a place on a bend is crossed at right
+    angles to the chord of a metre each way. A short link has one place, its middle; lines without length have none."""
+    line = F.col("line") if "line" in links.columns else F.array(G.point(F.col("x1"), F.col("y1")), G.point(F.col("x2"), F.col("y2")))
+    rows = links.select("link_id", G.measured(line).alias("segs")).withColumn("size", G.measured_length(F.col("segs"))).where("size > 0")
+    size = F.col("size")
     free = size - 2 * MARGIN_M
     n = F.greatest(F.floor(free / STEP_M), F.lit(1)).cast("int")
     at = lambda k: F.when(free <= 0, size / 2).otherwise(MARGIN_M + free * (k + 0.5) / n)
     places = F.transform(F.sequence(F.lit(0), F.when(free <= 0, 0).otherwise(n - 1)), at)
-    rows = links.where(size > 0).select("link_id", x1.alias("sx"), y1.alias("sy"), ((x2 - x1) / size).alias("ux"), ((y2 - y1) / size).alias("uy"), places.alias("ds"))
-    rows = rows.select("link_id", "sx", "sy", "ux", "uy", F.posexplode("ds").alias("k", "d"))
-    px, py = F.col("sx") + F.col("d") * F.col("ux"), F.col("sy") + F.col("d") * F.col("uy")
-    rows = rows.select("link_id", "k", "ux", "uy", px.alias("px"), py.alias("py"))
-    off = lambda side: ((F.col("px") - side * HALF_M * F.col("uy")), (F.col("py") + side * HALF_M * F.col("ux")))
+    point = lambda d: G.at_distance(F.col("segs"), d)
+    spots = F.transform(places, lambda d: F.struct(point(d).alias("p"), point(F.greatest(F.lit(0.0), d - 1)).alias("a"), point(F.least(size, d + 1)).alias("b")))
+    rows = rows.select("link_id", F.posexplode(spots).alias("k", "s"))
+    dx, dy = F.col("s.b.x") - F.col("s.a.x"), F.col("s.b.y") - F.col("s.a.y")
+    chord = G.hypot(dx, dy)
+    rows = rows.select("link_id", "k", F.col("s.p.x").alias("px"), F.col("s.p.y").alias("py"), dx.alias("dx"), dy.alias("dy"), chord.alias("chord")).where("chord > 0")
+    off = lambda side: (F.col("px") - side * HALF_M * F.col("dy") / F.col("chord"), F.col("py") + side * HALF_M * F.col("dx") / F.col("chord"))
     (ax, ay), (bx, by) = off(-1), off(1)
     return rows.select("link_id", "k", "px", "py", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
 
 
 def road_widths(links: DataFrame, faces: DataFrame) -> DataFrame:
     """(link_id, width_m): the median over a link's probes of the length, across it, of the faces' union that holds the
-    probe. Probes outside all faces do not count; links without any have no row. A probe meets the faces near it only, so
-    its list of intervals is short."""
-    across = probes(links)
-    low, high = (lambda a, b: F.least(F.col(a), F.col(b))), (lambda a, b: F.greatest(F.col(a), F.col(b)))
-    spread = across.withColumn("cx", _cells(low("ax", "bx"), high("ax", "bx"))).withColumn("cy", _cells(low("ay", "by"), high("ay", "by")))
-    both = spread.join(spread_faces(faces.select("face_id", "ring")), ["cx", "cy"]).dropDuplicates(["link_id", "k", "face_id"])
+    probe. Probes outside all faces do not count; links without any have no row. A probe and a face meet in the first cell
+    that both have, if their boxes touch, so no pair comes twice and rings are not moved again. A probe meets the faces
+    near it only, so its list of intervals is short."""
+    pick = {"lx": F.least("ax", "bx"), "ly": F.least("ay", "by"), "hx": F.greatest("ax", "bx"), "hy": F.greatest("ay", "by")}
+    across = probes(links).withColumns(pick)
+    spread = across.withColumn("cx", _cells(F.col("lx"), F.col("hx"))).withColumn("cy", _cells(F.col("ly"), F.col("hy")))
+    own = spread_faces(faces.select("face_id", "ring"), bounds=True)
+    first = (F.col("cx") == cell(F.greatest("lx", "_x1"), CELL_M)) & (F.col("cy") == cell(F.greatest("ly", "_y1"), CELL_M))
+    both = spread.join(own, ["cx", "cy"]).where(first & F.expr("lx <= _x2 and hx >= _x1 and ly <= _y2 and hy >= _y1"))
     parts = both.select("link_id", "k", F.explode(G.inside_intervals(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("ring"))).alias("i"))
     lists = parts.groupBy("link_id", "k").agg(F.sort_array(F.collect_list("i")).alias("own"))
     eps, slack = 1e-9, NEAR_M / (2 * HALF_M)

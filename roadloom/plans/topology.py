@@ -18,7 +18,7 @@ from roadloom.plans.registry import query
 from roadloom.plans.shapes import _C, _S, c19_link_axis
 from roadloom.plans.validation import dec_sql
 from roadloom.session import checkpointed
-from roadloom.sources.fixtures import table, view
+from roadloom.sources.fixtures import bent_links, table, view
 
 #: Side of the blocks in which the network is walked, and of the cells that get values by area.
 BLOCK_M, MESH_M = 5200, 200.0
@@ -76,18 +76,27 @@ def j06_face_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(spark, sf_dir)[1].select("link_id", "a", "b")
 
 
-@query(f"""with p as (select link_id, y1 = y2 as flat, unnest(range(11)) as k, x1, y1 from fx_links),
-q as (select link_id, k, flat, case when flat then x1 + 8 + 114 * (k + 0.5::double) / 11 else x1 end as px, case when flat then y1 else y1 + 8 + 114 * (k + 0.5::double) / 11 end as py from p),
-i as (select link_id, k, greatest(case when flat then ry1 - py else rx1 - px end, -40.0) as lo, least(case when flat then ry2 - py else rx2 - px end, 40.0) as hi from q join fx_roads
-  on rx1 <= px + 40 and rx2 >= px - 40 and ry1 <= py + 40 and ry2 >= py - 40 and case when flat then rx1 < px and px < rx2 else ry1 < py and py < ry2 end),
+@query(f"""with g0 as (select *, sqrt(cast((sx2 - sx1) * (sx2 - sx1) + (sy2 - sy1) * (sy2 - sy1) as double)) as len from fx_bent),
+seg as (select *, coalesce(sum(len) over (partition by link_id order by k rows between unbounded preceding and 1 preceding), 0) as d0, sum(len) over (partition by link_id) as total from g0),
+n as (select distinct link_id, total, cast(greatest(floor((total - 16) / 10), 1) as int) as n from seg), j as (select *, unnest(range(n)) as k from n),
+w as (select link_id, k, total, unnest([0, -1, 1]) as w, 8 + (total - 16) * (k + 0.5::double) / n as d from j),
+v as (select link_id, k, w, least(greatest(d + w, 0), total) as d from w),
+spot as (select v.link_id, v.k, w, sx1 + (d - d0) / len * (sx2 - sx1) as x, sy1 + (d - d0) / len * (sy2 - sy1) as y,
+  row_number() over (partition by v.link_id, v.k, w order by d0 desc) as pick from v join seg on seg.link_id = v.link_id and d0 <= d),
+q as (select link_id, k, max(x) filter (w = 0) as px, max(y) filter (w = 0) as py, max(x) filter (w = 1) - max(x) filter (w = -1) as dx, max(y) filter (w = 1) - max(y) filter (w = -1) as dy from spot where pick = 1 group by 1, 2),
+c as (select link_id, k, px, py, -dy / sqrt(dx * dx + dy * dy) as ux, dx / sqrt(dx * dx + dy * dy) as uy from q),
+b as (select link_id, k, case when abs(ux) < 1e-12 then -40.0 else least((rx1 - px) / ux, (rx2 - px) / ux) end as xl, case when abs(ux) < 1e-12 then 40.0 else greatest((rx1 - px) / ux, (rx2 - px) / ux) end as xh,
+  case when abs(uy) < 1e-12 then -40.0 else least((ry1 - py) / uy, (ry2 - py) / uy) end as yl, case when abs(uy) < 1e-12 then 40.0 else greatest((ry1 - py) / uy, (ry2 - py) / uy) end as yh
+  from c join fx_roads on rx1 <= px + 40 and rx2 >= px - 40 and ry1 <= py + 40 and ry2 >= py - 40 and (abs(ux) >= 1e-12 or rx1 < px and px < rx2) and (abs(uy) >= 1e-12 or ry1 < py and py < ry2)),
+i as (select link_id, k, greatest(-40.0, xl, yl) as lo, least(40.0, xh, yh) as hi from b),
 s as (select *, case when lo <= max(hi) over (partition by link_id, k order by lo, hi rows between unbounded preceding and 1 preceding) + 1e-7 then 0 else 1 end as new from i where hi > lo),
 g as (select *, sum(new) over (partition by link_id, k order by lo, hi rows unbounded preceding) as grp from s),
 u as (select link_id, k, max(hi) - min(lo) as w from g group by link_id, k, grp having min(lo) < 0.5 and max(hi) > -0.5)
 select link_id, {dec_sql('median(w)')} as width_m from u group by 1""")
 def e15_road_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Median width of the road faces across each link."""
+    """Median width of the road faces across each bent link."""
     roads = view(spark, sf_dir, "fx_roads").select(F.col("road_id").alias("face_id"), ring(*[F.col(c) for c in ("rx1", "ry1", "rx2", "ry2")]).alias("ring"))
-    return P.road_widths(view(spark, sf_dir, "fx_links"), roads).select("link_id", dec(F.col("width_m")).alias("width_m"))
+    return P.road_widths(bent_links(spark, sf_dir).select("link_id", "line"), roads).select("link_id", dec(F.col("width_m")).alias("width_m"))
 
 
 @query(f"""with a as (select *, (fx2 - fx1) * (fy2 - fy1) as area, 1 + face_id % 19 as value from fx_faces),

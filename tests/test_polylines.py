@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roadloom.functions import geo as G
+from roadloom.operators import faces as P
 from roadloom.operators import spatial_join as S
 
 PARTS = "array<array<struct<x:double,y:double>>>"
@@ -57,3 +58,23 @@ def test_points_along_a_measured_line(spark):
     want = [(0, 0), (0, 0), (1.5, 2), (3, 4), (3, 7), (3, 10), (3, 10)]
     assert all(math.dist(r.p, w) < 1e-9 for r, w in zip(got[:7], want, strict=True))
     assert [r.p for r in got[7:]] in ([None, None], [(None, None)] * 2)
+
+
+def box(x1, y1, x2, y2):
+    return [(float(x), float(y)) for x, y in ((x1, y1), (x2, y1), (x2, y2), (x1, y2), (x1, y1))]
+
+
+def test_probes_follow_a_bend(spark):
+    links = spark.createDataFrame([(1, [(0.0, 0.0), (50.0, 0.0), (50.0, 50.0)]), (2, [(0.0, 300.0), (4.0, 300.0)]), (3, [(9.0, 9.0)])], "link_id int, line array<struct<x:double,y:double>>")
+    got = {(r.link_id, r.k): r for r in P.probes(links).collect()}
+    assert sorted(got) == [(1, k) for k in range(8)] + [(2, 0)]
+    assert (got[1, 0].px, got[1, 0].py) == (pytest.approx(13.25), 0.0) and (got[2, 0].px, got[2, 0].ay) == (2.0, pytest.approx(260.0))
+    last = got[1, 7]
+    assert (last.px, last.py) == (50.0, pytest.approx(36.75)) and abs(last.ax - last.bx) == pytest.approx(80.0)
+
+
+def test_width_along_a_bend_is_the_median_of_all_probes(spark):
+    links = spark.createDataFrame([(1, [(0.0, 0.0), (40.0, 0.0), (40.0, 90.0)]), (2, [(500.0, 500.0), (540.0, 500.0)])], "link_id int, line array<struct<x:double,y:double>>")
+    faces = spark.createDataFrame([(1, box(-10, -5, 34, 7)), (2, box(33, 8, 51, 200)), (3, box(-500, -5, -200, 7)), (4, box(31, 8, 35, 200))], "face_id int, ring array<struct<x:double,y:double>>")
+    got = {r.link_id: r.width_m for r in P.road_widths(links, faces).collect()}
+    assert got == {1: pytest.approx(20.0)}
