@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.text import base_id
 from roadloom.operators.components import BLOCK_ARCS, reach, strong_components
+from roadloom.operators.graph import split_join
 from roadloom.session import checkpointed
 
 _LABELS = "node long, block long, dist long, leaves boolean"
@@ -65,20 +66,43 @@ def hops_from(edges: DataFrame, seeds: DataFrame, blocks: DataFrame) -> DataFram
     return known.select("node", "dist")
 
 
-def exit_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, path): the nodes after each of nodes (node, block) on a shortest way along edges (src, dst) to a node that
-    nothing follows; of equal ways the one with smaller next nodes. Exits have an empty path, and so have nodes from
-    which no exit can be reached. Paths double with each round."""
+def exit_hops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, hops, next) of nodes (node, block): the least number of steps along edges (src, dst) to a node that nothing
+    follows, and the first node on such a way, of several the smallest. An exit has no next; nodes from which none can be
+    reached get no row. The chain of nexts is the way out, so no way is written for a node."""
     ends = nodes.select("node").join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
     dist = checkpointed(hops_from(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ends, nodes))
     near = edges.join(dist.select(F.col("node").alias("src"), "dist"), "src").join(dist.select(F.col("node").alias("dst"), F.col("dist").alias("left")), "dst")
-    step = near.where("left = dist - 1").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("end"))
-    empty = F.array().cast("array<bigint>")
-    paths = checkpointed(dist.join(step, "node", "left").select("node", F.when(F.col("end").isNull(), empty).otherwise(F.array("end")).alias("path"), "end"))
-    for _ in range(int(dist.agg(F.max("dist")).first()[0] or 0).bit_length()):
-        after = paths.select(F.col("node").alias("end"), F.col("path").alias("more"), F.col("end").alias("then"))
-        paths = checkpointed(paths.join(after, "end", "left").select("node", F.concat("path", F.coalesce("more", empty)).alias("path"), F.col("then").alias("end")), instead_of=paths)
-    return nodes.select("node").join(paths.select("node", "path"), "node", "left").select("node", F.coalesce("path", empty).alias("path"))
+    step = near.where("left = dist - 1").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("next"))
+    return dist.join(step, "node", "left").select("node", F.col("dist").alias("hops"), "next")
+
+
+def ways_out(starts: DataFrame, steps: DataFrame) -> DataFrame:
+    """(node, path): the nodes after each of starts (node) along the nexts of steps (node, hops, next), empty for an exit.
+
+    Only these ways are written. A place on a way is reached from its start by tables of 1, 2, 4, ... steps, so that the
+    joins are as many as the longest way's length has digits in binary, and places, not ways, are what is joined.
+    """
+    own = checkpointed(starts.select("node").distinct().join(steps.select("node", "hops"), "node"))
+    longest = own.agg(F.max("hops")).first()[0] or 0
+    at = own.where("hops > 0").select("node", F.explode(F.sequence(F.lit(1), F.col("hops").cast("int"))).alias("place"), F.col("node").alias("now"))
+    jump = checkpointed(steps.where("next is not null").select(F.col("node").alias("now"), F.col("next").alias("to")))
+    for bit in range(longest.bit_length()):
+        moved = split_join(at, jump, ["now"], "left")
+        at = moved.select("node", "place", F.when(F.col("place").bitwiseAND(1 << bit) > 0, F.col("to")).otherwise(F.col("now")).alias("now"))
+        if longest >> (bit + 1):
+            at = checkpointed(at)
+            jump = checkpointed(split_join(jump.withColumnRenamed("now", "from").withColumnRenamed("to", "now"), jump, ["now"]).select(F.col("from").alias("now"), "to"))
+    paths = at.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "now"))), lambda s: s["now"]).alias("path"))
+    kind = dict(steps.dtypes)["node"]
+    return own.join(paths, "node", "left").select("node", F.coalesce("path", F.array().cast(f"array<{kind}>")).alias("path"))
+
+
+def exit_paths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, path): the nodes after each of nodes (node, block) on the way of ``exit_hops``. Exits have an empty path, and so
+    have nodes from which no exit can be reached. For all nodes this is much to write; ``ways_out`` gives a few."""
+    found = ways_out(nodes, exit_hops(edges, nodes))
+    return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("path", F.array().cast("array<bigint>")).alias("path"))
 
 
 def entry_exit_reach(edges: DataFrame, nodes: DataFrame, entries: DataFrame, block_arcs: int = BLOCK_ARCS) -> DataFrame:
@@ -100,9 +124,9 @@ def largest_scc(edges: DataFrame, nodes: DataFrame, block_arcs: int = BLOCK_ARCS
     return found.join(largest, "component").select("node")
 
 
-def cap_hops(routes: DataFrame, paths: DataFrame, max_hops: int) -> DataFrame:
-    """routes (veh, route array<string>) with ``cut``: a route whose base id changes more than ``max_hops`` times ends at
-    the edge past the cap, followed by that edge's path of paths (sid, path), if there is one. An empty route stays."""
+def cut_routes(routes: DataFrame, max_hops: int) -> DataFrame:
+    """routes (veh, route array<string>) with ``cut`` and ``sid``: a route whose base id changes more than ``max_hops`` times
+    ends at the edge past the cap, which is its sid. An empty route stays."""
     start = F.struct(F.lit(0).alias("hops"), F.lit(None).cast("bigint").alias("last"), F.lit(0).alias("seen"), F.lit(0).alias("at"))
 
     def step(acc, sid):
@@ -113,6 +137,18 @@ def cap_hops(routes: DataFrame, paths: DataFrame, max_hops: int) -> DataFrame:
 
     at = routes.withColumn("at", F.aggregate("route", start, step, lambda a: a["at"]))
     kept = at.withColumn("cut", F.col("at") > 0).withColumn("route", F.when(F.col("cut"), F.slice("route", 1, F.greatest("at", F.lit(1)))).otherwise(F.col("route")))
-    sid = F.when(F.col("cut"), F.element_at("route", -1))
-    led = kept.withColumn("sid", sid).join(paths.select("sid", "path"), "sid", "left")
+    return kept.withColumn("sid", F.when(F.col("cut"), F.element_at("route", -1))).drop("at")
+
+
+def cap_hops(routes: DataFrame, paths: DataFrame, max_hops: int) -> DataFrame:
+    """(veh, cut, route) of ``cut_routes``; a route that is cut goes on by its edge's path of paths (sid, path), if any."""
+    led = cut_routes(routes, max_hops).join(paths.select("sid", "path"), "sid", "left")
+    return led.select("veh", "cut", F.concat("route", F.coalesce("path", F.array().cast("array<string>"))).alias("route"))
+
+
+def lead_out(routes: DataFrame, steps: DataFrame, max_hops: int) -> DataFrame:
+    """As ``cap_hops`` by the nexts of steps (node, hops, next): ways are written for the edges at which a route is cut."""
+    cut = checkpointed(cut_routes(routes, max_hops))
+    paths = ways_out(cut.where("cut").select(F.col("sid").alias("node")), steps).withColumnRenamed("node", "sid")
+    led = split_join(cut, paths, ["sid"], "left")
     return led.select("veh", "cut", F.concat("route", F.coalesce("path", F.array().cast("array<string>"))).alias("route"))

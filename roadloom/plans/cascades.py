@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from roadloom.functions import geo as G
 from roadloom.functions.stats import dec
 from roadloom.operators.graph import connected_components
-from roadloom.operators.reach import cap_hops
+from roadloom.operators.reach import lead_out
 from roadloom.operators.spatial_join import around, cell, distance_pairs
 from roadloom.plans.network import _CC_SQL, _EDGES_SQL, all_links, edges
 from roadloom.plans.regions import REGION, inside, k02_zones
@@ -238,8 +238,11 @@ def j17_hop_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.transform(F.sequence(F.lit(0), k % 90 - 1), lambda i: F.concat((k + F.floor(i / 2)).cast("string"), F.when(i % 2 == 1, ".1").otherwise("")))
     routes = table(spark, sf_dir, "customer").where("c_custkey % 90 > 0").select(k.alias("veh"), names.alias("route"))
     last = table(spark, sf_dir, "customer").select((k + MAX_HOPS).alias("e")).where("e % 2 = 0").distinct()
-    paths = last.select(F.col("e").cast("string").alias("sid"), F.array((F.col("e") + 1000).cast("string"), (F.col("e") + 2000).cast("string")).alias("path"))
-    return cap_hops(routes, paths, MAX_HOPS).select("veh", "cut", F.array_join("route", " ").alias("route"))
+    name = lambda off: (F.col("e") + off).cast("string")
+    # The way out of an even edge e is e + 1000, e + 2000, so ways may share their edges.
+    ways = F.array(*[F.struct(name(1000 * i).alias("node"), F.lit(2 - i).alias("hops"), (name(1000 * i + 1000) if i < 2 else F.lit(None).cast("string")).alias("next")) for i in range(3)])
+    steps = last.select(F.explode(ways).alias("s")).select("s.*").groupBy("node").agg(F.max_by("next", "hops").alias("next"), F.max("hops").alias("hops"))
+    return lead_out(routes, steps, MAX_HOPS).select("veh", "cut", F.array_join("route", " ").alias("route"))
 
 
 _FLAG = "((c_custkey * {m} + {s} * 7 + {i} * 3) % 5 = 0)"

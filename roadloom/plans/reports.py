@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import text as T
 from roadloom.functions.stats import dec
+from roadloom.operators.quantiles import exact_quantiles
 from roadloom.plans.registry import query
 from roadloom.plans.validation import dec_sql
 from roadloom.sources.fixtures import table, view
@@ -24,8 +25,10 @@ def f13_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
 from (select category, abs(x2 - x1) + abs(y2 - y1) + link_id % 23 as len from fx_links) group by 1""")
 def f14_length_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = view(spark, sf_dir, "fx_links").select("category", (F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")) + F.col("link_id") % 23).alias("len"))
-    at = lambda p: dec(F.percentile("len", F.lit(p)))
-    return own.groupBy("category").agg(F.count("*").alias("n"), F.min("len").alias("low"), at(0.05).alias("p05"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("len").alias("high"), F.count(F.when(F.col("len") < 12, 1)).alias("under_12"))
+    found = exact_quantiles(own, ["category"], "len", {"p05": 0.05, "p50": 0.5, "p95": 0.95})
+    short = own.groupBy("category").agg(F.count(F.when(F.col("len") < 12, 1)).alias("under_12"))
+    whole = [F.col(c).cast("long").alias(c) for c in ("low", "high")]
+    return found.join(short, "category").select("category", "n", whole[0], *[dec(F.col(c)).alias(c) for c in ("p05", "p50", "p95")], whole[1], "under_12")
 
 
 @query("""select 'state' as name, count(*) filter (trim(state) <> '') as filled, count(*) as n from fx_links union all select 'oneway', count(*) filter (trim(oneway) <> ''), count(*) from fx_links union all select 'category', count(category), count(*) from fx_links""")
@@ -39,7 +42,7 @@ def f15_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
 select name, count(v) as n, min(v) as low, {dec_sql('median(v)')} as mid, max(v) as high from u group by 1""")
 def f16_numeric_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("double"), F.col("o_orderkey").cast("double")).unpivot([], ["o_custkey", "o_orderkey"], "name", "v")
-    return rows.groupBy("name").agg(F.count("v").alias("n"), F.min("v").alias("low"), dec(F.percentile("v", F.lit(0.5))).alias("mid"), F.max("v").alias("high"))
+    return exact_quantiles(rows, ["name"], "v", {"mid": 0.5}).select("name", "n", "low", dec(F.col("mid")).alias("mid"), "high")
 
 
 @query(f"""select (select sum(abs(x2 - x1) + abs(y2 - y1)) from fx_links where x1 < 3000) as clipped, (select sum(abs(x2 - x1) + abs(y2 - y1)) from fx_links) as total,

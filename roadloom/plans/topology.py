@@ -184,11 +184,13 @@ def successors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 _SUCC_SQL = f"{_EDGES_SQL}, succ as (select p.eid as src, s.eid as dst from edges p join edges s on s.frm = p.to_node where p.linked_edge is null or s.eid <> p.linked_edge)"
 
 
-@query(None)
+@query(f"""with recursive {_SUCC_SQL}, hop(eid, hops) using key (eid) as (select eid, 0 from edges where eid not in (select src from succ)
+  union select s.src, min(h.hops) + 1 from hop h join succ s on s.dst = h.eid left join recurring.hop r on r.eid = s.src where r.eid is null group by s.src)
+select h.eid, cast(h.hops as bigint) as hops, min(s.dst) filter (g.hops = h.hops - 1) as next from hop h left join succ s on s.src = h.eid left join hop g on g.eid = s.dst group by h.eid, h.hops""")
 def j16_exit_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges on the shortest way from each edge to an edge that nothing follows."""
-    paths = R.exit_paths(*successors(spark, sf_dir))
-    return paths.select(F.col("node").alias("eid"), F.size("path").alias("hops"), F.array_join(F.col("path").cast("array<string>"), " ").alias("path"))
+    """Steps from each edge to the nearest edge that nothing follows, and the next edge on that way: the chains of these are
+    the paths."""
+    return R.exit_hops(*successors(spark, sf_dir)).select(F.col("node").alias("eid"), "hops", "next")
 
 
 @query(f"""with recursive {_D1_SQL}, succ as (select p.eid as src, s.eid as dst from edges p join edges s on s.frm = p.to_node where p.linked_edge is null or s.eid <> p.linked_edge),

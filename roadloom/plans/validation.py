@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.stats import HOLDOUT_LIMIT, HOLDOUT_SALT, dec, fit_from_sums, geh, is_holdout, sums
+from roadloom.operators.quantiles import exact_quantiles
 from roadloom.plans.registry import query
 from roadloom.sources.fixtures import view
 
@@ -131,5 +132,6 @@ def a17_observation_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 select hour, count(*) as n, {dec_sql("quantile_cont(q, 0.5)")} as median, {dec_sql("quantile_cont(q, 0.25)")} as q1, {dec_sql("quantile_cont(q, 0.75)")} as q3, {dec_sql("avg(case when q between 0.7 and 1.3 then 1.0 else 0.0 end)")} as within from p group by hour""")
 def e27_source_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = view(spark, sf_dir, "fx_obs").join(view(spark, sf_dir, "fx_flow"), ["eid", "hour"]).where("flow > 0").withColumn("q", F.col("cnt").cast("double") / F.col("flow"))
-    at = lambda p: dec(F.percentile("q", F.lit(p)))
-    return both.groupBy("hour").agg(F.count("*").alias("n"), at(0.5).alias("median"), at(0.25).alias("q1"), at(0.75).alias("q3"), dec(F.avg(F.when(F.col("q").between(0.7, 1.3), 1.0).otherwise(0.0))).alias("within"))
+    found = exact_quantiles(both, ["hour"], "q", {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    within = both.groupBy("hour").agg(dec(F.avg(F.when(F.col("q").between(0.7, 1.3), 1.0).otherwise(0.0))).alias("within"))
+    return found.join(within, "hour").select("hour", "n", *[dec(F.col(c)).alias(c) for c in ("median", "q1", "q3")], "within")
