@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,6 +121,60 @@ def road_widths(links: DataFrame, faces: DataFrame) -> DataFrame:
     return lists.select("link_id", width.alias("w")).where("w is not null").groupBy("link_id").agg(F.median("w").alias("width_m"))
 
 
+def boundary_edges(areas: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, x1, y1, x2, y2): the edges of rings of areas (keys, ring) that only one side of a key's areas has, with the
+    inside to their left. An edge that two rings of a key share has one of each direction, and these cancel. Neighbours
+    must share the vertices of their border; rings may run either way and need not be closed by a repeated vertex."""
+    closed = F.when(F.element_at("ring", 1) == F.element_at("ring", -1), F.col("ring")).otherwise(F.concat("ring", F.slice("ring", 1, 1)))
+    signed = F.aggregate(G.segments(closed), F.lit(0.0), lambda a, s: a + s["x1"] * s["y2"] - s["x2"] * s["y1"])
+    rows = areas.where(F.size("ring") >= 3).select(*keys, F.explode(G.segments(F.when(signed < 0, F.reverse(closed)).otherwise(closed))).alias("s")).select(*keys, "s.*")
+    rows = rows.where("x1 <> x2 or y1 <> y2")
+    forward = F.expr("x1 < x2 or (x1 = x2 and y1 < y2)")
+    a, b = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
+    net = rows.select(*keys, F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(forward, 1).otherwise(-1).alias("way")).groupBy(*keys, "a", "b").agg(F.sum("way").alias("way"))
+    first, last = F.when(F.col("way") > 0, F.col("a")).otherwise(F.col("b")), F.when(F.col("way") > 0, F.col("b")).otherwise(F.col("a"))
+    return net.where("way <> 0").select(*keys, first.alias("p"), last.alias("q")).select(*keys, F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2"))
+
+
+def rings_of(edges: list[tuple[tuple[float, float], tuple[float, float]]]) -> list[list[tuple[float, float]]]:
+    """Closed rings of directed edges that end where others begin. Where two rings meet in a point the sharpest turn to the
+    left is taken, so that they stay two; vertices on a straight line go."""
+    after: dict[tuple[float, float], list[tuple[float, float]]] = {}
+    for a, b in sorted(edges):
+        after.setdefault(a, []).append(b)
+
+    def turn(a, b, c):
+        return math.atan2((b[0] - a[0]) * (c[1] - b[1]) - (b[1] - a[1]) * (c[0] - b[0]), (b[0] - a[0]) * (c[0] - b[0]) + (b[1] - a[1]) * (c[1] - b[1]))
+
+    rings = []
+    for start in sorted(after):
+        while after.get(start):
+            ring = [start, after[start].pop()]
+            while ring[-1] != start:
+                out = after[ring[-1]]
+                out.sort(key=lambda c: turn(ring[-2], ring[-1], c))  # noqa: B023
+                ring.append(out.pop())
+            bent = [p for i, p in enumerate(ring[:-1]) if abs(turn(ring[i - 1] if i else ring[-2], p, ring[i + 1])) > 1e-12]
+            rings.append([*bent, bent[0]])
+    return rings
+
+
+def dissolve(areas: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rings): the union of areas (keys, ring) of each key, which must not overlap. Outer rings run against the clock,
+    holes with it. Borders between areas of a key are gone before anything is gathered; what is left of a key is one row
+    of the result, so it is put together in one task. Areas of fewer than three vertices have no part in it."""
+    kinds = dict(areas.dtypes)
+    edges = boundary_edges(areas, keys)
+
+    def chain(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        points = [list(zip(pdf[x].tolist(), pdf[y].tolist(), strict=True)) for x, y in (("x1", "y1"), ("x2", "y2"))]
+        rings = [[{"x": x, "y": y} for x, y in ring] for ring in rings_of(list(zip(*points, strict=True)))]
+        return pd.DataFrame([[*key, rings]], columns=[*keys, "rings"])
+
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", rings array<array<struct<x: double, y: double>>>"
+    return edges.groupBy(*keys).applyInPandas(chain, schema)
+
+
 def areal_interpolation(areas: DataFrame, size: float) -> DataFrame:
     """(cx, cy, value): the values of areas (area_id, value, ring) given to square cells of a side ``size`` by the share of
     each area that lies in a cell. An area meets the cells of its box; areas without area give nothing."""

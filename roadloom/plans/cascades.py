@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import geo as G
 from roadloom.functions.stats import dec
+from roadloom.operators.faces import dissolve
 from roadloom.operators.graph import connected_components
 from roadloom.operators.reach import lead_out
 from roadloom.operators.spatial_join import around, cell, distance_pairs
@@ -157,12 +158,25 @@ def f23_grid_bearing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(best["b"], best["n"])], "b double, n long").select(dec(F.col("b")).alias("bearing"), F.col("n").alias("kept"))
 
 
-@query("select p_brand as city, p_type as town, count(*) as parts, cast(sum(p_size * p_size) as double) as area_m2 from part group by 1, 2")
+_LOTS = "select nid, x, y, x // 650 as city, (x // 260 + y // 390) % 3 as town from fx_nodes where nid % 11 <> 5"
+
+
+@query(f"""with lot as ({_LOTS}), side as (select city, town, x, y, unnest([[0, -130], [130, 0], [0, 130], [-130, 0]]) as d from lot),
+open as (select s.city, s.town, count(*) as n from side s left join lot l on l.city = s.city and l.town = s.town and l.x = s.x + d[1] and l.y = s.y + d[2] where l.x is null group by 1, 2)
+select city, town, count(*) as parts, cast(count(*) * 16900 as double) as area_m2, cast(max(n) * 130 as double) as border_m from lot join open using (city, town) group by 1, 2""")
 def f24_dissolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and area by city and town; source areas do not overlap, so areas add."""
-    side, zero = F.col("p_size"), F.lit(0)
-    ring = F.array(*[G.point(x, y) for x, y in ((zero, zero), (side, zero), (side, side), (zero, side), (zero, zero))])
-    return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("city"), F.col("p_type").alias("town")).agg(F.count("*").alias("parts"), F.sum(G.ring_area(ring)).alias("area_m2"))
+    """Square lots round the nodes, some missing, as one area for each city and town: area and border of its rings, holes
+    taken off."""
+    x, y = F.col("x").cast("double"), F.col("y").cast("double")
+    ring = F.array(*[G.point(x + a, y + b) for a, b in ((-65, -65), (65, -65), (65, 65), (-65, 65), (-65, -65))])
+    town = (F.floor(F.col("x") / 260) + F.floor(F.col("y") / 390)) % 3
+    lots = view(spark, sf_dir, "fx_nodes").where("nid % 11 <> 5").select(F.floor(F.col("x") / 650).alias("city"), town.alias("town"), ring.alias("ring"))
+    signed = lambda r: F.aggregate(G.segments(r), F.lit(0.0), lambda a, s: a + s["x1"] * s["y2"] - s["x2"] * s["y1"]) / 2
+    add = lambda a, v: a + v
+    area = F.aggregate(F.transform("rings", signed), F.lit(0.0), add)
+    border = F.aggregate(F.transform("rings", G.line_length), F.lit(0.0), add)
+    parts = lots.groupBy("city", "town").agg(F.count("*").alias("parts"))
+    return dissolve(lots, ["city", "town"]).join(parts, ["city", "town"]).select("city", "town", "parts", area.alias("area_m2"), border.alias("border_m"))
 
 
 @query(f"""with h as (select distinct y1 // 130 as line, x1 as x from fx_links where x1 = x2), g as (select *, x - lag(x) over (partition by line order by x) as gap from h)

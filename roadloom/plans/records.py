@@ -14,6 +14,7 @@ from roadloom.plans.validation import dec_sql
 from roadloom.session import shared_folder
 from roadloom.sources import files
 from roadloom.sources.fixtures import table, view
+from roadloom.sources.zips import read_zips, write_zips
 
 _LINE_SQL = '''strftime(ts, '%Y-%m-%d %H:%M:%S') || ',S,' || user_id || ',' ||
 case event_id % 7 when 0 then '' when 1 then 'x' else cast(cast(floor(value) as bigint) as varchar) end ||
@@ -49,6 +50,22 @@ def a04_wide_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_wide_csv(spark, path, ["key", "segment", "name"], "UTF-8")
 
 
+@query("""select cast(c_custkey as varchar) as key, '札幌 "' || c_name || '", 北' || c_nationkey as name, length(repeat(c_name, 8000)) as note_chars
+from customer where c_custkey % 20 = 0 and c_custkey % 3 > 0""")
+def a04_zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as cp932 members of zip archives, with fields of over 128 KB, and read member by member; rows of
+    every third customer are of another kind and go."""
+    c = F.col("c_custkey")
+    text = F.concat(F.lit('札幌 "'), F.col("c_name"), F.lit('", 北'), F.col("c_nationkey").cast("string"))
+    rows = table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select(
+        F.col("c_name").alias("owner"), F.when(c % 3 > 0, "S").otherwise("T").alias("kind"), c.cast("string").alias("key"), text.alias("name"), F.repeat("c_name", F.lit(8000)).alias("note")
+    )
+    path = f"{shared_folder(spark)}/zips-{uuid.uuid4().hex}"
+    write_zips(rows.repartition(3), path, "control")
+    found = read_zips(spark, path, ["kind", "key", "name", "note"], "control*").where("kind = 'S'")
+    return found.select("key", "name", F.length("note").cast("long").alias("note_chars"))
+
+
 @query("""select link_id as id, link_id % 4 in (1, 2) as oneway, case when link_id % 4 = 1 then x2 else x1 end as first_x,
 case when link_id % 4 = 1 then y2 else y1 end as first_y from fx_links where category <> 3 and link_id % 6 <> 5""")
 def a07_ways(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 
 def hourly_volume(events: DataFrame, late: str = "2 hours") -> DataFrame:
@@ -29,3 +30,24 @@ def frame_rollup(pings: DataFrame, late: str = "10 seconds") -> DataFrame:
     """(second, n, mean_speed) of position pings (ts, speed); pings without a speed are left out."""
     rows = pings.where("speed is not null and speed >= 0").withWatermark("ts", late)
     return rows.groupBy(F.window("ts", "1 second").alias("w")).agg(F.count("*").alias("n"), F.avg("speed").alias("mean_speed")).select(F.col("w.start").alias("second"), "n", "mean_speed")
+
+
+def write_batch(rows: DataFrame, batch: int, folder: str) -> None:
+    """The rows of a micro-batch as the part ``batch=N`` of a table. A batch that comes again after a failure replaces its
+    own part, so nothing is counted twice, and other parts stay."""
+    rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+
+def write_stream(rows: DataFrame, folder: str, state: str, mode: str = "append") -> StreamingQuery:
+    """Starts a query over what there is now that writes each batch of ``rows`` to ``folder`` once, whatever is replayed;
+    ``state`` is its checkpoint. Both folders must be shared."""
+    sink = rows.writeStream.foreachBatch(lambda df, batch: write_batch(df, batch, folder))
+    return sink.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """Of the rows that ``write_stream`` wrote in update mode, the last of each key."""
+    rows = spark.read.parquet(folder)
+    others = [c for c in rows.columns if c not in (*keys, "batch")]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("r"))
+    return best.select(*keys, "r.*")
