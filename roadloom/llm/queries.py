@@ -190,10 +190,10 @@ _OP11 = r"""
 with base as (
   select page_id, sha1(coalesce(html, '')) as hex, strlen(coalesce(html, '')) as payload_bytes, min(page_id) over (partition by coalesce(html, '')) as first from pages
 ), digits as (
-  select page_id, payload_bytes, first, list_transform(range(8), i -> cast('0x' || substr(hex, cast(i * 5 + 1 as int), 5) as int)) as fives from base
+  select page_id, payload_bytes, first, list_transform(range(8), lambda i: cast('0x' || substr(hex, cast(i * 5 + 1 as int), 5) as int)) as fives from base
 )
-select page_id, payload_bytes, list_reduce(list_transform(fives, v -> list_reduce(list_transform([15, 10, 5, 0],
-    b -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> b) & 31) + 1, 1)), (x, y) -> x || y)), (x, y) -> x || y) as payload_digest,
+select page_id, payload_bytes, list_reduce(list_transform(fives, lambda v: list_reduce(list_transform([15, 10, 5, 0],
+    lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> b) & 31) + 1, 1)), lambda x, y: x || y)), lambda x, y: x || y) as payload_digest,
   case when first <> page_id then 'revisit' else 'response' end as record_type, case when first <> page_id then first end as refers_to, true as intact
 from digits
 """
