@@ -331,18 +331,28 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block_items: int = BLOCK_I
     """(uid, sequence_id, offset) for pieces (uid, length): no sequence holds more than ``capacity``.
 
     A block is a fixed number of pieces, so the work grows with the pieces and no task with the corpus. Sequences below
-    95 % full are taken apart once more and packed across blocks. Pieces of equal length are interchangeable; ties go by
-    uid.
+    95 % full are taken apart and packed again across blocks, as long as that makes them fewer; packing that does not is
+    dropped. Pieces of equal length are interchangeable; ties go by uid.
     """
     small = checkpointed(pieces.where(F.col("length") < capacity).select("uid", F.col("length").cast("long").alias("length")))
-    full = pieces.where(F.col("length") == capacity).select("uid", (F.col("uid") * 4).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    first = checkpointed(_pack_round(small, small.count(), capacity, block_items, islands, epochs, seed))
-    poor = first.groupBy("block", "bin").agg(F.sum("length").alias("filled")).where(F.col("filled") * 100 < capacity * 95).select("block", "bin", F.lit(True).alias("poor"))
-    marked = checkpointed(first.join(poor, ["block", "bin"], "left"))
-    again = marked.where("poor").select("uid", "length")
-    second = _pack_round(again, again.count(), capacity, block_items, islands, epochs, seed + 1)
-    number = (F.col("block") * (1 << 20) + F.col("bin")) * 4
-    placed = marked.where("poor is null").select("uid", "length", (number + 1).alias("sequence_id")).union(second.select("uid", "length", (number + 2).alias("sequence_id")))
+    full = pieces.where(F.col("length") == capacity).select("uid", (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    now, settled, turn = checkpointed(_pack_round(small, small.count(), capacity, block_items, islands, epochs, seed)), [], 0
+    while True:
+        number = ((F.col("block") * (1 << 20) + F.col("bin")) * 64 + turn).alias("sequence_id")
+        poor = now.groupBy("block", "bin").agg(F.sum("length").alias("filled")).where(F.col("filled") * 100 < capacity * 95).select("block", "bin", F.lit(True).alias("poor"))
+        marked = checkpointed(now.join(poor, ["block", "bin"], "left"))
+        bins = marked.where("poor").select("block", "bin").distinct().count()
+        again = marked.where("poor").select("uid", "length")
+        # Fewer than two sequences cannot become fewer; the turn's number has six bits.
+        found = checkpointed(_pack_round(again, again.count(), capacity, block_items, islands, epochs, seed + turn + 1)) if bins > 1 and turn < 63 else None
+        if found is None or found.select("block", "bin").distinct().count() >= bins:
+            settled.append(marked.select("uid", "length", number))
+            break
+        settled.append(marked.where("poor is null").select("uid", "length", number))
+        now, turn = found, turn + 1
+    placed = settled[0]
+    for part in settled[1:]:
+        placed = placed.union(part)
     # A sequence holds at most ``capacity`` pieces, so its window is small whatever the data.
     listed = placed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("uid", "length"))).alias("own"))
     starts = F.transform(F.sequence(F.lit(1), F.size("own")), lambda k: F.aggregate(F.slice("own", 1, k - 1), F.lit(0).cast("long"), lambda a, x: a + x["length"]))

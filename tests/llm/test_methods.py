@@ -344,3 +344,26 @@ def test_lines_of_rows_without_id_are_dropped_by_row(spark):
     want = Counter((i, 3, 0 if i == 299 else 2, t if i == 299 else t.split("\n")[1]) for i, t in rows)
     want[None, 1, 0, "short"] = 50
     assert found == want
+
+
+@pytest.mark.parametrize("worse", [True, False])
+def test_sequences_are_packed_again_only_while_they_become_fewer(spark, monkeypatch, worse):
+    """A first round that fills each sequence half; then one that gives every piece its own, or the real one."""
+    plain, turns = P._pack_round, []
+
+    def packed(items, n, *more):
+        turns.append(n)
+        if len(turns) == 1:  # two pieces of 250 a sequence
+            return items.select(F.lit(0).alias("block"), F.floor(F.col("uid") / 2).cast("int").alias("bin"), "uid", "length")
+        return items.select(F.lit(0).alias("block"), F.col("uid").cast("int").alias("bin"), "uid", "length") if worse else plain(items, n, *more)
+
+    monkeypatch.setattr(P, "_pack_round", packed)
+    pieces = spark.createDataFrame([(i, 250) for i in range(40)] + [(100, 1024)], "uid long, length int")
+    rows = P.pack(pieces).collect()
+    assert sorted(r.uid for r in rows) == [*range(40), 100]
+    held = defaultdict(list)
+    for r in rows:
+        held[r.sequence_id].append(r.offset)
+    assert len(held) == (21 if worse else 11)
+    assert all(sorted(v) == [250 * i for i in range(len(v))] for v in held.values())
+    assert turns[0] == turns[1] == 40 and len(turns) == 2
