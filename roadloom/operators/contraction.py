@@ -16,7 +16,8 @@ def contract_short_links(nodes: DataFrame, links: DataFrame, short_m: float = SH
 
     A link shorter than ``short_m`` between two nodes of degree three or more becomes one node at its middle, the smaller
     nid. One with an end of degree two is joined with the other link there: the longer one gives link_id and category,
-    lengths add, ids are appended, lines are joined; not where that would close a loop. Links with a dead end stay.
+    lengths add, ids are appended, lines are joined; not where that would close a loop. One with a dead end is joined so too
+    if its other end has degree two, and stays otherwise.
     A round takes all short links that are the shortest (then of smallest link_id) round every node they touch, so no two
     of a round meet, and rounds go on until nothing is left to do. Loops of one node are left out.
     """
