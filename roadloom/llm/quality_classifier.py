@@ -162,6 +162,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, held_out: Column, thresho
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that the classifier predicts 0; all columns as they were, no join."""
+    """``docs`` without the rows that the classifier predicts 0; all columns as they were, no join.
+
+    Null texts are judged as empty ones; equal texts share their verdict, whatever their doc_id. No rows: no rows."""
     model = train(docs, labels, held_out)
     return docs.where(score_udf(model)(F.col("text")) >= threshold)

@@ -145,5 +145,6 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] | None = None, sample_r
 
 def drop_rejected(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` without the rejected rows, all columns as they were; decided in place, without a join. The base checks are
-    rules like the others here, so that costly counts are made only of texts that cheaper rules let through."""
+    rules like the others here, so that costly counts are made only of texts that cheaper rules let through. Null and
+    empty texts have no words and go; equal rows share their verdict, whatever their doc_id. No rows: no rows."""
     return docs.where(first_rejection(order_rules(docs, base_rules() + default_rules(), sample_rows)).isNull())
