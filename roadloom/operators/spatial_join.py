@@ -13,10 +13,14 @@ def cell(v: Column, size: float) -> Column:
 
 
 def around(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
-    """A row for each of the nine cells round the point, as ``cx`` and ``cy``."""
+    """A row for each of the nine cells round the point, as ``cx`` and ``cy``.
+
+    Spark takes the nine rows for the size of one, so a join would hand them whole through the driver to all executors;
+    the hint has it sort and merge, where adaptive execution splits a crowded cell.
+    """
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     spread = df.withColumn("_s", F.explode(steps))
-    return spread.withColumn("cx", cell(F.col(x), size) + F.col("_s.i")).withColumn("cy", cell(F.col(y), size) + F.col("_s.j")).drop("_s")
+    return spread.withColumn("cx", cell(F.col(x), size) + F.col("_s.i")).withColumn("cy", cell(F.col(y), size) + F.col("_s.j")).drop("_s").hint("merge")
 
 
 def nearest_within(points: DataFrame, nodes: DataFrame, tol: float) -> DataFrame:
@@ -31,12 +35,38 @@ def nearest_within(points: DataFrame, nodes: DataFrame, tol: float) -> DataFrame
     return points.join(best, "pid", "left").select(*[points[c] for c in points.columns], F.col("b.nid").alias("nid"), F.col("b.dist").alias("dist"))
 
 
+def near_pairs(points: DataFrame, tol: float) -> DataFrame:
+    """(id1, id2, dist, x, y), id1 < id2, of points (id, x, y) at most ``tol`` apart, with the place of one of them. A row
+    for each pair of rows, so repeated ids give repeated pairs.
+
+    Cells have twice the tolerance as their side. A point goes to its own cell and to those of the cells east, north-west,
+    north and north-east that it is near enough to, so two points meet in one cell only.
+    """
+    side, reach = 2.0 * tol, 1.001 * tol  # a little more, since sums are rounded
+    x, y = F.col("x"), F.col("y")
+    cx, cy = cell(x, side), cell(y, side)
+    east, west, north = cell(x + reach, side) > cx, cell(x - reach, side) < cx, cell(y + reach, side) > cy
+    at = lambda i, j, when: F.when(when, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")))
+    steps = F.array_compact(F.array(at(0, 0, F.lit(True)), at(1, 0, east), at(-1, 1, west & north), at(0, 1, north), at(1, 1, east & north)))
+    left = points.select(F.col("id").alias("ida"), x, y, cx.alias("cx"), cy.alias("cy"), F.explode(steps).alias("s"))
+    left = left.select("ida", "x", "y", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), F.expr("s.i = 0 and s.j = 0").alias("own")).hint("merge")
+    right = points.select(F.col("id").alias("idb"), x.alias("xb"), y.alias("yb"), cx.alias("cx"), cy.alias("cy"))
+    both = left.join(right, ["cx", "cy"]).where("if(own, ida < idb, ida <> idb)").withColumn("dist", hypot(x - F.col("xb"), y - F.col("yb")))
+    return both.where(F.col("dist") <= tol).select(F.least("ida", "idb").alias("id1"), F.greatest("ida", "idb").alias("id2"), "dist", "x", "y")
+
+
 def distance_pairs(points: DataFrame, tol: float) -> DataFrame:
     """(id1, id2), id1 < id2, of points (id, x, y) at most ``tol`` apart."""
-    left = around(points.select(F.col("id").alias("id1"), F.col("x").alias("xa"), F.col("y").alias("ya")), "xa", "ya", tol)
-    right = points.select(F.col("id").alias("id2"), "x", "y", cell(F.col("x"), tol).alias("cx"), cell(F.col("y"), tol).alias("cy"))
-    both = left.join(right, ["cx", "cy"]).where("id1 < id2")
-    return both.where(hypot(F.col("xa") - F.col("x"), F.col("ya") - F.col("y")) <= tol).select("id1", "id2").distinct()
+    return near_pairs(points, tol).select("id1", "id2").distinct()
+
+
+def near_links(points: DataFrame, tol: float) -> DataFrame:
+    """(src, dst, dist, x, y): links between points (id, x, y) that join the same points as all pairs at most any tolerance
+    up to ``tol`` apart would. Points of one place link to its smallest id, and only these meet those of other places."""
+    first = points.groupBy("x", "y").agg(F.min("id").alias("id"))
+    copies = points.join(first.withColumnRenamed("id", "rep"), ["x", "y"]).where("id <> rep")
+    same = copies.select(F.col("rep").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("dist"), "x", "y")
+    return near_pairs(first, tol).select(F.col("id1").alias("src"), F.col("id2").alias("dst"), "dist", "x", "y").unionByName(same)
 
 
 def nearest_incident(points: DataFrame, links: DataFrame) -> DataFrame:

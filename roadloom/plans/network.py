@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.stats import dec
 from roadloom.operators import network as N
-from roadloom.operators.graph import connected_components
-from roadloom.operators.spatial_join import distance_pairs
+from roadloom.operators.graph import connected_components, near_stars
+from roadloom.operators.spatial_join import cell, near_links
 from roadloom.plans.registry import query
 from roadloom.plans.validation import dec_sql
+from roadloom.session import checkpointed
 from roadloom.sources.fixtures import table, view
 
+#: Side of the places within which near points are joined first.
+SNAP_BLOCK_M = 520
+
 _EDGES_SQL = """edges as (
   select link_id * 2 as eid, a as frm, b as to_node, case when oneway = '' then link_id * 2 + 1 end as linked_edge, oneway, link_id, width_cls, category, state, x1, y1, x2, y2 from fx_links where oneway in ('', 'F')
   union all select link_id * 2 + 1, b, a, case when oneway = '' then link_id * 2 end, oneway, link_id, width_cls, category, state, x2, y2, x1, y1 from fx_links where oneway in ('', 'R'))"""
@@ -138,6 +142,7 @@ def sized_components(links: DataFrame) -> DataFrame:
 def j01_snap_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signs at most 4 m apart become one node at their mean; components of distance pairs."""
     points = view(spark, sf_dir, "fx_signs").select(F.col("sign_id").alias("id"), "x", "y")
-    comp = connected_components(distance_pairs(points, 4.0).select(F.col("id1").alias("src"), F.col("id2").alias("dst"))).select(F.col("node").alias("id"), "component")
+    stars = checkpointed(near_stars(near_links(points, 4.0), [cell(F.col(c), SNAP_BLOCK_M) for c in ("x", "y")]).select("src", "dst"))
+    comp = connected_components(stars).select(F.col("node").alias("id"), "component")
     named = points.join(comp, "id", "left").withColumn("cluster", F.coalesce("component", "id"))
     return named.groupBy("cluster").agg(F.count("*").alias("members"), dec(F.sum("x") / F.count("*")).alias("x"), dec(F.sum("y") / F.count("*")).alias("y"))
