@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from roadloom.operators import spatial_join as S
 from roadloom.operators.graph import connected_components, near_stars
+from roadloom.plans import registry
+
+SF = "/root/testdata/sf0.001"
 
 
 def plan(df) -> str:
@@ -45,3 +49,8 @@ def test_stars_join_what_all_pairs_join(spark):
         want, got = (connected_components(spark.createDataFrame(e, "src long, dst long")).collect() for e in (pairs, own))
         assert sorted(map(tuple, got)) == sorted(map(tuple, want))
         assert len(own) < len(pairs)
+
+
+@pytest.mark.parametrize("name", ["e10_has_any_within"])
+def test_nine_cells_a_row_are_never_broadcast(spark, name):
+    assert "BroadcastHashJoin [cx" not in plan(registry.queries()[name](spark, SF))
