@@ -88,7 +88,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = VIEWS[name].replace("fx_nodes", "{fx_nodes}").replace("fx_links", "{fx_links}")
     need = {}
     for below in _BELOW.get(name, []):
-        need[below] = view(spark, sf_dir, below)
+        # Links are made in all tasks: nodes broadcast to the few tasks that read the table would leave the rest to these.
+        need[below] = view(spark, sf_dir, below).hint("merge")
     for t, df in own.items():
         pattern = f" {t}"
         if f"from {t}" in sql or f"join {t}" in sql:
