@@ -51,6 +51,6 @@ def test_stars_join_what_all_pairs_join(spark):
         assert len(own) < len(pairs)
 
 
-@pytest.mark.parametrize("name", ["e10_has_any_within", "e12_zone_edges"])
+@pytest.mark.parametrize("name", ["e10_has_any_within", "e12_zone_edges", "e22_sensor_cascade"])
 def test_nine_cells_a_row_are_never_broadcast(spark, name):
     assert "BroadcastHashJoin [cx" not in plan(registry.queries()[name](spark, SF))
