@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from roadloom.functions import geo as G
 from roadloom.functions.stats import dec
 from roadloom.operators.faces import dissolve
-from roadloom.operators.graph import connected_components
+from roadloom.operators.graph import connected_components, near_stars
 from roadloom.operators.reach import lead_out
-from roadloom.operators.spatial_join import around, cell, distance_pairs
-from roadloom.plans.network import _CC_SQL, _EDGES_SQL, all_links, edges
+from roadloom.operators.spatial_join import around, cell, near_links
+from roadloom.plans.network import SNAP_BLOCK_M, _CC_SQL, _EDGES_SQL, all_links, edges
 from roadloom.plans.regions import REGION, inside, k02_zones
 from roadloom.plans.registry import _SQL, query
 from roadloom.plans.shapes import doubles
 from roadloom.plans.validation import dec_sql
+from roadloom.session import checkpointed
 from roadloom.sources.fixtures import table, view
 from roadloom.sources.intervals import hourly_flows
 from roadloom.streaming.jobs import frame_rollup, hourly_volume, signal_means
@@ -203,14 +204,10 @@ select tol, (select count(*) from fx_signs) - coalesce(joined, 0) + coalesce(roo
 def j02_tolerance_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and the largest cluster when signs are snapped at several tolerances: one run, the tolerance part of the node."""
     signs = view(spark, sf_dir, "fx_signs").select(F.col("sign_id").alias("id"), "x", "y")
-    at = signs.select(F.col("id").alias("id1"), F.col("x").alias("xa"), F.col("y").alias("ya"))
-    to = signs.select(F.col("id").alias("id2"), F.col("x").alias("xb"), F.col("y").alias("yb"))
-    pairs = distance_pairs(signs, 6.0).join(at, "id1").join(to, "id2")
     tols = spark.createDataFrame([(2,), (4,), (6,)], "tol int")
-    d2 = (F.col("xa") - F.col("xb")) ** 2 + (F.col("ya") - F.col("yb")) ** 2
-    keyed = pairs.withColumn("tol", F.explode(F.array(*[F.lit(t) for t in (2, 4, 6)]))).where(d2 <= F.col("tol") ** 2)
-    node = lambda c: F.struct("tol", F.col(c).alias("id"))
-    comp = connected_components(keyed.select(node("id1").alias("src"), node("id2").alias("dst")))
+    stars = near_stars(near_links(signs, 6.0), [cell(F.col(c), SNAP_BLOCK_M) for c in ("x", "y")], (2.0, 4.0, 6.0), "dist")
+    node = lambda c: F.struct(F.col("limit").cast("int").alias("tol"), F.col(c).alias("id"))
+    comp = connected_components(checkpointed(stars.select(node("src").alias("src"), node("dst").alias("dst"))))
     sizes = comp.groupBy("component").agg(F.count("*").alias("m")).groupBy(F.col("component.tol").alias("tol")).agg(F.sum("m").alias("joined"), F.count("*").alias("roots"), F.max("m").alias("largest"))
     total = signs.agg(F.count("*").alias("n"))
     zero = F.lit(0)
