@@ -155,21 +155,33 @@ def j05_short_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("link_id", "a", "b", "length", "category", F.size("ids").alias("parts"))
 
 
-@query("""select link_id, nid, x2 + link_id % 3 as vx, y2 as vy from fx_links join fx_nodes n on abs(n.x - x2 - link_id % 3) <= 0.5 and n.y = y2 where state in ('2', '3')""")
+@query("""with l as (select * from fx_links where state in ('2', '3')), k as (select *, unnest(range(1, 26)) as k from l),
+v as (select link_id, x1 + k as vx, y1 + k // 2 as vy from k union all select link_id, x2 + link_id % 3, y2 from l),
+p as (select 'node' as kind, nid, x, y from fx_nodes union all select 'sign', sign_id, x, y from fx_signs)
+select link_id, kind, nid, vx, vy from v join p on p.x = vx and p.y = vy""")
 def j07_interior_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes within half a metre of the bend of a bridge or tunnel that leads on past its second end."""
+    """Nodes and signs within half a metre of an inner vertex of a bridge or tunnel; all places are whole metres."""
+    point = lambda kind, key, name: view(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(key).alias("nid"), "x", "y")
+    points = point("node", "nid", "fx_nodes").unionByName(point("sign", "sign_id", "fx_signs"))
+    return interior_contacts(bent_crossings(view(spark, sf_dir, "fx_links")), points).select("link_id", "kind", "nid", "vx", "vy")
+
+
+def bent_crossings(links: DataFrame) -> DataFrame:
+    """(link_id, line) of bridges and tunnels: 25 bends after the first end, one at or near the second, and a way on."""
     at = lambda x, y: F.struct(x.cast("long").alias("x"), y.cast("long").alias("y"))
-    line = F.array(at(F.col("x1"), F.col("y1")), at(F.col("x2") + F.col("link_id") % 3, F.col("y2")), at(F.col("x2") + 130, F.col("y2") + 60))
-    lines = view(spark, sf_dir, "fx_links").where("state in ('2', '3')").select("link_id", line.alias("line"))
-    return interior_contacts(lines, view(spark, sf_dir, "fx_nodes").select("nid", "x", "y"))
+    bends = F.transform(F.sequence(F.lit(1), F.lit(25)), lambda k: at(F.col("x1") + k, F.col("y1") + F.floor(k / 2)))
+    last = F.array(at(F.col("x2") + F.col("link_id") % 3, F.col("y2")), at(F.col("x2") + 130, F.col("y2") + 60))
+    line = F.concat(F.array(at(F.col("x1"), F.col("y1"))), bends, last)
+    return links.where("state in ('2', '3')").select("link_id", line.alias("line"))
 
 
 def interior_contacts(lines: DataFrame, nodes: DataFrame, tol: float = 0.5) -> DataFrame:
-    """(link_id, nid, vx, vy) of nodes (nid, x, y) at most ``tol`` from a vertex of a line (link_id, line) that is no end."""
+    """(link_id, nid, vx, vy, ...) of nodes (nid, x, y, ...) at most ``tol`` from a vertex of a line (link_id, line) that is
+    no end."""
     inner = lines.select("link_id", F.explode(F.slice("line", 2, F.greatest(F.size("line") - 2, F.lit(0)))).alias("v")).select("link_id", F.col("v.x").alias("vx"), F.col("v.y").alias("vy"))
-    placed = nodes.select("nid", "x", "y", cell(F.col("x"), 4).alias("cx"), cell(F.col("y"), 4).alias("cy"))
+    placed = nodes.select("*", cell(F.col("x"), 4).alias("cx"), cell(F.col("y"), 4).alias("cy"))
     near = around(inner, "vx", "vy", 4).join(placed, ["cx", "cy"])
-    return near.where(G.hypot((F.col("vx") - F.col("x")).cast("double"), (F.col("vy") - F.col("y")).cast("double")) <= tol).select("link_id", "nid", "vx", "vy")
+    return near.where(G.hypot((F.col("vx") - F.col("x")).cast("double"), (F.col("vy") - F.col("y")).cast("double")) <= tol).drop("x", "y", "cx", "cy")
 
 
 def successors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from roadloom.operators import spatial_join as S
 from roadloom.operators.graph import connected_components, near_stars
-from roadloom.plans import registry
+from roadloom.plans import registry, topology
+from roadloom.sources.fixtures import view
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,3 +55,12 @@ def test_stars_join_what_all_pairs_join(spark):
 @pytest.mark.parametrize("name", ["e10_has_any_within", "e12_zone_edges", "e22_sensor_cascade"])
 def test_nine_cells_a_row_are_never_broadcast(spark, name):
     assert "BroadcastHashJoin [cx" not in plan(registry.queries()[name](spark, SF))
+
+
+def test_contacts_of_every_bend_with_nodes_and_signs(spark):
+    lines = topology.bent_crossings(view(spark, SF, "fx_links"))
+    assert {r["n"] for r in lines.select(F.size("line").alias("n")).collect()} == {28}
+    bends = lines.limit(1).select("link_id", F.explode(F.slice("line", 2, 26)).alias("v")).select("link_id", F.monotonically_increasing_id().alias("nid"), "v.x", "v.y").localCheckpoint()
+    found = topology.interior_contacts(lines.join(bends.select("link_id").distinct(), "link_id"), bends.drop("link_id"))
+    assert found.count() == 26
+    assert "kind" in registry.queries()["j07_interior_contacts"](spark, SF).columns
