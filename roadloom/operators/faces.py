@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import DoubleType
 
+from roadloom.functions import crossings as V
 from roadloom.functions import geo as G
 from roadloom.operators.spatial_join import cell
 
@@ -79,18 +82,19 @@ def probes(links: DataFrame) -> DataFrame:
     away from both ends, and the line across each. Distances are along the line, and a place on a bend is crossed at right
     angles to the chord of a metre each way. A short link has one place, its middle; lines without length have none."""
     line = F.col("line") if "line" in links.columns else F.array(G.point(F.col("x1"), F.col("y1")), G.point(F.col("x2"), F.col("y2")))
-    rows = links.select("link_id", G.measured(line).alias("segs")).withColumn("size", G.measured_length(F.col("segs"))).where("size > 0")
-    size = F.col("size")
-    free = size - 2 * MARGIN_M
-    n = F.greatest(F.floor(free / STEP_M), F.lit(1)).cast("int")
-    at = lambda k: F.when(free <= 0, size / 2).otherwise(MARGIN_M + free * (k + 0.5) / n)
-    places = F.transform(F.sequence(F.lit(0), F.when(free <= 0, 0).otherwise(n - 1)), at)
-    point = lambda d: G.at_distance(F.col("segs"), d)
-    spots = F.transform(places, lambda d: F.struct(point(d).alias("p"), point(F.greatest(F.lit(0.0), d - 1)).alias("a"), point(F.least(size, d + 1)).alias("b")))
-    rows = rows.select("link_id", F.posexplode(spots).alias("k", "s"))
-    dx, dy = F.col("s.b.x") - F.col("s.a.x"), F.col("s.b.y") - F.col("s.a.y")
-    chord = G.hypot(dx, dy)
-    rows = rows.select("link_id", "k", F.col("s.p.x").alias("px"), F.col("s.p.y").alias("py"), dx.alias("dx"), dy.alias("dy"), chord.alias("chord")).where("chord > 0")
+    names = ("k", "px", "py", "dx", "dy", "chord")
+    kind = dict(links.dtypes)["link_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, at = V.vertices(batch.column("line"))
+            rows = [V.line_probes(x[i:j], y[i:j], STEP_M, MARGIN_M) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            ids = batch.column("link_id").take(pa.array(np.repeat(np.arange(len(rows)), [len(r) for r in rows])))
+            values = np.concatenate(rows) if rows else np.empty((0, len(names)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(values[:, 0].astype(np.int32)), *(pa.array(values[:, i]) for i in range(1, len(names)))], names=["link_id", *names])
+
+    schema = f"link_id {kind}, k int, px double, py double, dx double, dy double, chord double"
+    rows = links.select("link_id", line.alias("line")).where("line is not null").mapInArrow(run, schema)
     off = lambda side: (F.col("px") - side * HALF_M * F.col("dy") / F.col("chord"), F.col("py") + side * HALF_M * F.col("dx") / F.col("chord"))
     (ax, ay), (bx, by) = off(-1), off(1)
     return rows.select("link_id", "k", "px", "py", ax.alias("ax"), ay.alias("ay"), bx.alias("bx"), by.alias("by"))
@@ -100,25 +104,33 @@ def road_widths(links: DataFrame, faces: DataFrame) -> DataFrame:
     """(link_id, width_m): the median over a link's probes of the length, across it, of the faces' union that holds the
     probe. Probes outside all faces do not count; links without any have no row. A probe and a face meet in the first cell
     that both have, if their boxes touch, so no pair comes twice and rings are not moved again. A probe meets the faces
-    near it only, so its list of intervals is short."""
+    near it only, so the intervals of a link are in proportion to its length. Lines, rings and intervals are worked on a
+    batch at a time."""
     pick = {"lx": F.least("ax", "bx"), "ly": F.least("ay", "by"), "hx": F.greatest("ax", "bx"), "hy": F.greatest("ay", "by")}
     across = probes(links).withColumns(pick)
     spread = across.withColumn("cx", _cells(F.col("lx"), F.col("hx"))).withColumn("cy", _cells(F.col("ly"), F.col("hy")))
     own = spread_faces(faces.select("face_id", "ring"), bounds=True)
     first = (F.col("cx") == cell(F.greatest("lx", "_x1"), CELL_M)) & (F.col("cy") == cell(F.greatest("ly", "_y1"), CELL_M))
     both = spread.join(own, ["cx", "cy"]).where(first & F.expr("lx <= _x2 and hx >= _x1 and ly <= _y2 and hy >= _y1"))
-    parts = both.select("link_id", "k", F.explode(G.inside_intervals(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"), F.col("ring"))).alias("i"))
-    lists = parts.groupBy("link_id", "k").agg(F.sort_array(F.collect_list("i")).alias("own"))
-    eps, slack = 1e-9, NEAR_M / (2 * HALF_M)
-    holds = lambda acc: F.when((acc["lo"] - slack < 0.5) & (acc["hi"] + slack > 0.5), acc["hi"] - acc["lo"])
-    start = F.struct(F.lit(-1.0).alias("lo"), F.lit(-1.0).alias("hi"), F.lit(None).cast("double").alias("found"))
-
-    def merge(acc: Column, i: Column) -> Column:
-        apart = i["a"] > acc["hi"] + eps
-        return F.struct(F.when(apart, i["a"]).otherwise(acc["lo"]).alias("lo"), F.when(apart, i["b"]).otherwise(F.greatest(acc["hi"], i["b"])).alias("hi"), F.coalesce(acc["found"], F.when(apart, holds(acc))).alias("found"))
-
-    width = F.aggregate("own", start, merge, lambda acc: F.coalesce(acc["found"], holds(acc)) * 2 * HALF_M)
-    return lists.select("link_id", width.alias("w")).where("w is not null").groupBy("link_id").agg(F.median("w").alias("width_m"))
+    kind = dict(links.dtypes)["link_id"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, a, b = V.inside_parts(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("ax", "ay", "bx", "by")), *V.vertices(batch.column("ring")))
+            own = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column("link_id").take(own), batch.column("k").take(own), pa.array(a), pa.array(b)], names=["link_id", "k", "a", "b"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("own")
+            parts = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            own, width = V.union_widths(row, *(parts.field(c).to_numpy(zero_copy_only=False) for c in ("k", "a", "b")), NEAR_M / (2 * HALF_M), 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("link_id").take(pa.array(own)), pa.array(width * 2 * HALF_M)], names=["link_id", "width_m"])
+
+    parts = both.select("link_id", "k", "ax", "ay", "bx", "by", "ring").mapInArrow(cut, f"link_id {kind}, k int, a double, b double")
+    lists = parts.groupBy("link_id").agg(F.collect_list(F.struct("k", "a", "b")).alias("own"))
+    return lists.mapInArrow(measure, f"link_id {kind}, width_m double")
 
 
 def boundary_edges(areas: DataFrame, keys: list[str]) -> DataFrame:

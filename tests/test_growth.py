@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from roadloom.functions import crossings as V
+from roadloom.functions import geo as G
 from roadloom.operators import spatial_join as S
 from roadloom.operators.graph import connected_components, near_stars
 from roadloom.plans import registry, topology
@@ -64,3 +67,23 @@ def test_contacts_of_every_bend_with_nodes_and_signs(spark):
     found = topology.interior_contacts(lines.join(bends.select("link_id").distinct(), "link_id"), bends.drop("link_id"))
     assert found.count() == 26
     assert "kind" in registry.queries()["j07_interior_contacts"](spark, SF).columns
+
+
+def test_parts_in_rings_and_widths_agree_with_the_column_functions(spark):
+    pick = random.Random(3)
+    rows = []
+    for i in range(300):
+        spots = [(pick.uniform(-9, 9), pick.uniform(-9, 9)) for _ in range(pick.randint(3, 7))]
+        rows.append((i, *(pick.uniform(-12, 12) for _ in range(4)), [*spots, spots[0]]))
+    df = spark.createDataFrame(rows, "id long, ax double, ay double, bx double, by double, ring array<struct<x: double, y: double>>")
+    parts = G.inside_intervals(*(F.col(c) for c in ("ax", "ay", "bx", "by")), F.col("ring"))
+    want = {(r["id"], round(r["i"]["a"], 9), round(r["i"]["b"], 9)) for r in df.select("id", F.explode(parts).alias("i")).collect()}
+    batch = df.toArrow().combine_chunks().to_batches()[0]
+    row, a, b = V.inside_parts(*(batch.column(c).to_numpy() for c in ("ax", "ay", "bx", "by")), *V.vertices(batch.column("ring")))
+    assert len(want) > 100 and {(int(i), round(p, 9), round(q, 9)) for i, p, q in zip(row, a, b, strict=True)} == want
+    own, width = V.union_widths(*(np.array(c) for c in ([4, 4, 4, 4, 7, 9], [0, 0, 0, 1, 0, 0], [0.4, 0.1, 0.8, 0.45, 0.0, 0.5], [0.6, 0.4, 0.9, 0.55, 0.2, 0.75])), 0.01, 1e-9)
+    assert own.tolist() == [4, 9] and [round(w, 9) for w in width] == [0.3, 0.25]
+
+
+def test_widths_are_worked_on_by_batches(spark):
+    assert plan(registry.queries()["e15_road_widths"](spark, SF)).count("MapInArrow") >= 3
