@@ -53,3 +53,9 @@ def checkpointed(df: DataFrame, instead_of: DataFrame | None = None, partition_b
         folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old)
         folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     return out
+
+
+def dealt(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """``df`` in a number of partitions for each core, whatever its size: for rows that are few bytes and much work, which
+    a scan would leave to the one or two tasks that read them."""
+    return df.repartition(per_core * df.sparkSession.sparkContext.defaultParallelism)

@@ -30,10 +30,13 @@ def ways(elements: DataFrame) -> DataFrame:
 
 def parse_pos_list(text, least: int = 4):
     """array<struct<x, y>> of ``lat lon height`` triples with x the longitude; null for fewer than ``least`` points."""
-    values = F.transform(F.split(F.trim(text), "\\s+"), lambda v: v.try_cast("double"))
-    n = F.floor(F.size(values) / 3).cast("int")
-    points = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: point(F.get(values, i * 3 + 1), F.get(values, i * 3)))
-    return F.when(n >= least, points)
+    one = lambda of, then: F.element_at(F.transform(F.array(of), then), 1)  # noqa: E731 - names a value, so that it is made once
+
+    def points(values: Column) -> Column:
+        n = F.floor(F.size(values) / 3).cast("int")
+        return F.when(n >= least, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: point(F.get(values, i * 3 + 1), F.get(values, i * 3))))
+
+    return one(F.transform(F.split(F.trim(text), "\\s+"), lambda v: v.try_cast("double")), points)
 
 
 def read_wide_csv(spark: SparkSession, path: str, columns: list[str], encoding: str = "windows-31j") -> DataFrame:

@@ -87,3 +87,8 @@ def test_parts_in_rings_and_widths_agree_with_the_column_functions(spark):
 
 def test_widths_are_worked_on_by_batches(spark):
     assert plan(registry.queries()["e15_road_widths"](spark, SF)).count("MapInArrow") >= 3
+
+
+def test_position_lists_are_read_once_and_in_all_tasks(spark):
+    text = plan(registry.queries()["a08_position_lists"](spark, SF))
+    assert "RoundRobinPartitioning" in text and text.count("split(") == 1
