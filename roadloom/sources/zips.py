@@ -19,8 +19,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Rows of an Arrow batch.
-ROWS = 2000
+#: Rows of an Arrow batch, and its characters, beyond which it ends.
+ROWS, CHARS = 2000, 4_000_000
 
 
 def place(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -68,12 +68,14 @@ class ZipReader(DataSourceReader):
                 return
             at = [head.index(c) for c in self.columns]
             rows: list[tuple] = []
+            held = 0
             for line in lines:
                 if len(line) > max(at):
                     rows.append((partition.name, *(line[i] for i in at)))
-                if len(rows) == ROWS:
+                    held += sum(map(len, rows[-1]))
+                if len(rows) == ROWS or held >= CHARS:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=schema)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], schema=schema)
 

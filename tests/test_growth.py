@@ -13,6 +13,7 @@ from roadloom.functions import geo as G
 from roadloom.operators import spatial_join as S
 from roadloom.operators.graph import connected_components, near_stars
 from roadloom.plans import registry, topology
+from roadloom.sources import zips
 from roadloom.sources.fixtures import view
 
 SF = "/root/testdata/sf0.001"
@@ -92,3 +93,12 @@ def test_widths_are_worked_on_by_batches(spark):
 def test_position_lists_are_read_once_and_in_all_tasks(spark):
     text = plan(registry.queries()["a08_position_lists"](spark, SF))
     assert "RoundRobinPartitioning" in text and text.count("split(") == 1
+
+
+def test_zip_members_are_as_many_as_tasks_and_batches_end_by_their_size(spark, tmp_path):
+    spark.range(6).select(F.repeat(F.lit("x"), F.lit(1_500_000)).alias("note")).coalesce(1).withColumn("key", F.lit("k")).transform(lambda df: zips.write_zips(df, str(tmp_path), "m") or df)
+    reader = zips.ZipReader({"path": str(tmp_path), "columns": "key,note"})
+    (member,) = reader.partitions()
+    assert [b.num_rows for b in reader.read(member)] == [3, 3]
+    found = registry.queries()["a04_zip_members"](spark, SF)
+    assert found.rdd.getNumPartitions() > 3
