@@ -87,7 +87,7 @@ def match_segments(df: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("ux", (F.col("x2") - F.col("x1")) / F.col("len")).withColumn("uy", (F.col("y2") - F.col("y1")) / F.col("len"))
 
 
-def line_match(links: DataFrame, features: DataFrame, buffer: float, dot_min: float = 0.85) -> DataFrame:
+def line_match(links: DataFrame, features: DataFrame, buffer: float, dot_min: float = 0.85, near: float | None = None) -> DataFrame:
     """(link_id, reg_id, cover, dots, len) of links and features, both with polylines ``parts`` or straight (x1, y1, x2, y2).
 
     A feature's segment covers a link's where they are near parallel, the feature's middle is within ``buffer`` of the
@@ -95,7 +95,8 @@ def line_match(links: DataFrame, features: DataFrame, buffer: float, dot_min: fl
     feature, and ``len`` is the link's whole length, that of segments without cover included. Each link segment goes to
     all cells that its box touches, widened by a cell, each feature segment to the cell of its middle, so the equi-join
     loses no pair. The cells have a side of eight buffers, doubled for features too long for it, so that a long feature
-    widens the search for its own length class alone.
+    widens the search for its own length class alone. With ``near``, a narrower buffer, there are also ``near_cover`` and
+    ``near_dots`` of what lies within that, null where nothing does.
     """
     size = buffer * 8
     seg = match_segments(links, "link_id")
@@ -117,8 +118,12 @@ def line_match(links: DataFrame, features: DataFrame, buffer: float, dot_min: fl
     both = both.withColumn("along", (F.col("mx") - F.col("x1")) * F.col("ux") + (F.col("my") - F.col("y1")) * F.col("uy"))
     both = both.withColumn("off", F.abs((F.col("mx") - F.col("x1")) * F.col("uy") - (F.col("my") - F.col("y1")) * F.col("ux")))
     overlap = F.least(F.col("len"), F.col("along") + F.col("rlen") / 2) - F.greatest(F.lit(0.0), F.col("along") - F.col("rlen") / 2)
-    near = both.withColumn("overlap", overlap).where((F.abs("dot") >= dot_min) & (F.col("off") <= buffer) & (F.col("overlap") > 0))
-    return near.groupBy("link_id", "reg_id").agg(F.sum("overlap").alias("cover"), F.sum(F.col("dot") * F.col("overlap")).alias("dots"), F.max("total").alias("len"))
+    found = both.withColumn("overlap", overlap).where((F.abs("dot") >= dot_min) & (F.col("off") <= buffer) & (F.col("overlap") > 0))
+    sums = [F.sum("overlap").alias("cover"), F.sum(F.col("dot") * F.col("overlap")).alias("dots"), F.max("total").alias("len")]
+    if near is not None:
+        inner = F.when(F.col("off") <= near, F.col("overlap"))
+        sums += [F.sum(inner).alias("near_cover"), F.sum(F.col("dot") * inner).alias("near_dots")]
+    return found.groupBy("link_id", "reg_id").agg(*sums)
 
 
 def best_match(matches: DataFrame, cover_min: float = 0.5) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -102,3 +103,8 @@ def test_zip_members_are_as_many_as_tasks_and_batches_end_by_their_size(spark, t
     assert [b.num_rows for b in reader.read(member)] == [3, 3]
     found = registry.queries()["a04_zip_members"](spark, SF)
     assert found.rdd.getNumPartitions() > 3
+
+
+def test_both_passes_come_from_one_meeting(spark):
+    text = plan(registry.queries()["e08_two_pass_attach"](spark, SF))
+    assert len(re.findall("Join \\[level", text)) == 1
