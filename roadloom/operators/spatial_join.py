@@ -8,28 +8,39 @@ from pyspark.sql import functions as F
 from roadloom.functions.geo import hypot, measured, point, point_segment_distance
 
 
+#: Reaches are taken a little longer where rows go to cells, since sums and distances are rounded.
+SLACK = 1.001
+
+
 def cell(v: Column, size: float) -> Column:
     return F.floor(v / F.lit(float(size))).cast("long")
 
 
-def around(df: DataFrame, x: str, y: str, size: float) -> DataFrame:
-    """A row for each of the nine cells round the point, as ``cx`` and ``cy``.
+def in_cells(df: DataFrame, x: str, y: str, reach: float) -> DataFrame:
+    """The cell of each point, as ``cx`` and ``cy``, among those that ``around`` gives for this reach."""
+    side = 2.0 * (SLACK * reach)
+    return df.withColumn("cx", cell(F.col(x), side)).withColumn("cy", cell(F.col(y), side))
+
+
+def around(df: DataFrame, x: str, y: str, reach: float) -> DataFrame:
+    """A row for each cell that holds places at most ``reach`` from the point on both axes, as ``cx`` and ``cy``.
 
-    Spark takes the nine rows for the size of one, so a join would hand them whole through the driver to all executors;
-    the hint has it sort and merge, where adaptive execution splits a crowded cell.
+    Cells are as wide as the span from one end of the reach to the other, so these are four. Spark takes the four rows for
+    the size of one, so a join would hand them whole through the driver to all executors; the hint has it sort and merge,
+    where adaptive execution splits a crowded cell.
     """
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    spread = df.withColumn("_s", F.explode(steps))
-    return spread.withColumn("cx", cell(F.col(x), size) + F.col("_s.i")).withColumn("cy", cell(F.col(y), size) + F.col("_s.j")).drop("_s").hint("merge")
+    wide = SLACK * reach
+    span = lambda c: F.sequence(cell(F.col(c) - wide, 2.0 * wide), cell(F.col(c) + wide, 2.0 * wide))
+    return df.withColumn("cx", F.explode(span(x))).withColumn("cy", F.explode(span(y))).hint("merge")
 
 
 def nearest_within(points: DataFrame, nodes: DataFrame, tol: float) -> DataFrame:
     """points (pid, px, py) with ``nid`` and ``dist`` of the nearest of nodes (nid, x, y) within ``tol``, else nulls.
 
-    Ties go to the smaller nid. Points are spread over nine cells and the minimum is combined before the shuffle.
+    Ties go to the smaller nid. Points are spread over cells and the minimum is combined before the shuffle.
     """
     spread = around(points.select("pid", "px", "py"), "px", "py", tol)
-    own = nodes.select("nid", "x", "y", cell(F.col("x"), tol).alias("cx"), cell(F.col("y"), tol).alias("cy"))
+    own = in_cells(nodes.select("nid", "x", "y"), "x", "y", tol)
     near = spread.join(own, ["cx", "cy"]).withColumn("dist", hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y"))).where(F.col("dist") <= tol)
     best = near.groupBy("pid").agg(F.min(F.struct("dist", "nid")).alias("b"))
     return points.join(best, "pid", "left").select(*[points[c] for c in points.columns], F.col("b.nid").alias("nid"), F.col("b.dist").alias("dist"))

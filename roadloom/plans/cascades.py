@@ -10,7 +10,7 @@ from roadloom.functions.stats import dec
 from roadloom.operators.faces import dissolve
 from roadloom.operators.graph import connected_components, near_stars
 from roadloom.operators.reach import lead_out
-from roadloom.operators.spatial_join import around, cell, near_links
+from roadloom.operators.spatial_join import around, cell, in_cells, near_links
 from roadloom.plans.network import SNAP_BLOCK_M, _CC_SQL, _EDGES_SQL, all_links, edges
 from roadloom.plans.regions import REGION, inside, k02_zones
 from roadloom.plans.registry import _SQL, query
@@ -99,8 +99,8 @@ def e22_sensor_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
     keyed = sensor.where("keyed").select("det", "category")
     at = lambda end, rank, method: keyed.join(e.select(F.col(end).alias("det"), "category", "eid"), ["det", "category"]).select("det", F.lit(rank).alias("rank"), F.lit(0.0).alias("dist"), "eid", F.lit(method).alias("method"))
-    mid = e.where("width_cls in (4, 5)").select("eid", ((F.col("x1") + F.col("x2")) / 2).alias("mx"), ((F.col("y1") + F.col("y2")) / 2).alias("my")).withColumn("cx", cell(F.col("mx"), 120)).withColumn("cy", cell(F.col("my"), 120))
-    near = around(sensor.select("det", "px", "py"), "px", "py", 120).join(mid, ["cx", "cy"]).withColumn("dist", G.hypot(F.col("px") - F.col("mx"), F.col("py") - F.col("my"))).where("dist <= 120")
+    mid = e.where("width_cls in (4, 5)").select("eid", ((F.col("x1") + F.col("x2")) / 2).alias("mx"), ((F.col("y1") + F.col("y2")) / 2).alias("my"))
+    near = around(sensor.select("det", "px", "py"), "px", "py", 120).join(in_cells(mid, "mx", "my", 120), ["cx", "cy"]).withColumn("dist", G.hypot(F.col("px") - F.col("mx"), F.col("py") - F.col("my"))).where("dist <= 120")
     address = near.select("det", F.lit(3).alias("rank"), F.bround("dist", 6).alias("dist"), "eid", F.lit("address").alias("method"))
     best = at("to", 1, "in").unionByName(at("frm", 2, "out")).unionByName(address).groupBy("det").agg(F.min(F.struct("rank", "dist", "eid", "method")).alias("b"))
     return sensor.join(best, "det", "left").select("det", F.col("b.eid").alias("eid"), F.coalesce("b.method", F.lit("none")).alias("method"))

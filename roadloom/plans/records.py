@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from roadloom.functions.stats import dec
-from roadloom.operators.spatial_join import around, cell
+from roadloom.operators.spatial_join import around, in_cells
 from roadloom.plans.registry import query
 from roadloom.plans.validation import dec_sql
 from roadloom.session import dealt, shared_folder
@@ -155,9 +155,8 @@ def e12_zone_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sqrt((dx * dx + dy * dy).cast("double")).alias("len"),
     )
     reach = 2 * NEAREST_M
-    cells = mids.withColumn("cx", cell(F.col("mx"), reach)).withColumn("cy", cell(F.col("my"), reach))
     ox, oy = F.col("mx") - F.col("px"), F.col("my") - F.col("py")
-    near = around(zones, "px", "py", reach).join(cells, ["cx", "cy"]).withColumn("d2", ox * ox + oy * oy)
+    near = around(zones, "px", "py", reach).join(in_cells(mids, "mx", "my", reach), ["cx", "cy"]).withColumn("d2", ox * ox + oy * oy)
     near = near.withColumn("within", (F.abs(ox) < ZONE_M) & (F.abs(oy) < ZONE_M)).where(F.col("within") | (F.col("d2") <= reach * reach))
     tier = F.when(F.col("within"), F.when(F.col("loc"), 1).otherwise(2)).otherwise(F.when(F.col("loc"), 3).otherwise(4))
     best = near.groupBy("zone").agg(F.min(tier).alias("tier"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roadloom.functions.geo import angle_diff, bearing
 from roadloom.functions.stats import dec
-from roadloom.operators.spatial_join import around, cell
+from roadloom.operators.spatial_join import around, in_cells
 from roadloom.plans.network import _EDGES_SQL, _TURN_SQL, edges
 from roadloom.plans.registry import query
 from roadloom.plans.validation import dec_sql
@@ -32,12 +32,13 @@ def a13_latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select nid, exists (select 1 from fx_signs s where s.x between n.x - 20 and n.x + 20 and s.y between n.y - 20 and n.y + 20 and (s.x - n.x) * (s.x - n.x) + (s.y - n.y) * (s.y - n.y) <= 400) as has_any from fx_nodes n")
 def e10_has_any_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a sign lies within 20 m of each node. The side with many rows, the signs, is spread over no cells."""
+    """Whether a sign lies within 20 m of each node. The side with many rows, the signs, is spread over no cells; a cell of
+    a node is kept or not, so no pairs are made, and hits are merged, since their size too is taken for that of the nodes."""
     nodes = view(spark, sf_dir, "fx_nodes").select("nid", "x", "y")
     signs = view(spark, sf_dir, "fx_signs").select(F.col("x").alias("sx"), F.col("y").alias("sy"))
-    placed = signs.distinct().select("sx", "sy", cell(F.col("sx"), REACH_M).alias("cx"), cell(F.col("sy"), REACH_M).alias("cy"))
-    near = around(nodes, "x", "y", REACH_M).join(placed, ["cx", "cy"]).where((F.col("sx") - F.col("x")) ** 2 + (F.col("sy") - F.col("y")) ** 2 <= REACH_M**2)
-    hits = near.select("nid", F.lit(True).alias("hit")).distinct()
+    own, placed = around(nodes, "x", "y", REACH_M).alias("n"), in_cells(signs.distinct(), "sx", "sy", REACH_M).alias("s")
+    near = (F.col("sx") - F.col("x")) ** 2 + (F.col("sy") - F.col("y")) ** 2 <= REACH_M**2
+    hits = own.join(placed, F.expr("n.cx = s.cx and n.cy = s.cy") & near, "left_semi").select("nid", F.lit(True).alias("hit")).distinct().hint("merge")
     return nodes.join(hits, "nid", "left").select("nid", F.coalesce("hit", F.lit(False)).alias("has_any"))
 
 

@@ -10,7 +10,7 @@ from roadloom.functions.stats import dec
 from roadloom.operators import faces as P
 from roadloom.operators import reach as R
 from roadloom.operators.contraction import contract_short_links
-from roadloom.operators.spatial_join import around, cell
+from roadloom.operators.spatial_join import around, cell, in_cells
 from roadloom.plans.network import _D1_SQL, _EDGES_SQL, edges
 from roadloom.operators.network import degree1_nodes
 from roadloom.plans.regions import _IN_SQL, gates
@@ -179,8 +179,7 @@ def interior_contacts(lines: DataFrame, nodes: DataFrame, tol: float = 0.5) -> D
     """(link_id, nid, vx, vy, ...) of nodes (nid, x, y, ...) at most ``tol`` from a vertex of a line (link_id, line) that is
     no end."""
     inner = lines.select("link_id", F.explode(F.slice("line", 2, F.greatest(F.size("line") - 2, F.lit(0)))).alias("v")).select("link_id", F.col("v.x").alias("vx"), F.col("v.y").alias("vy"))
-    placed = nodes.select("*", cell(F.col("x"), 4).alias("cx"), cell(F.col("y"), 4).alias("cy"))
-    near = around(inner, "vx", "vy", 4).join(placed, ["cx", "cy"])
+    near = around(inner, "vx", "vy", tol).join(in_cells(nodes, "x", "y", tol), ["cx", "cy"])
     return near.where(G.hypot((F.col("vx") - F.col("x")).cast("double"), (F.col("vy") - F.col("y")).cast("double")) <= tol).drop("x", "y", "cx", "cy")
 
 

@@ -57,6 +57,21 @@ def test_stars_join_what_all_pairs_join(spark):
         assert len(own) < len(pairs)
 
 
+def test_points_go_to_four_cells_and_meet_all_places_in_reach(spark):
+    rows, points = spots(spark, 150, 4)
+    for reach in (1.0, 4.0, 7.5):
+        spread = S.around(points.select(F.col("id").alias("ida"), "x", "y"), "x", "y", reach)
+        assert spread.count() <= 4 * len(rows)
+        other = S.in_cells(points.select(F.col("id").alias("idb"), F.col("x").alias("xb"), F.col("y").alias("yb")), "xb", "yb", reach)
+        far = (F.col("x") - F.col("xb")) ** 2 + (F.col("y") - F.col("yb")) ** 2
+        found = spread.join(other, ["cx", "cy"]).where((F.col("ida") < F.col("idb")) & (far <= reach * reach))
+        assert {tuple(r) for r in found.select("ida", "idb").collect()} == close(rows, reach)
+
+
+def test_any_within_makes_no_pairs(spark):
+    assert "SortMergeJoin [cx" in (text := plan(registry.queries()["e10_has_any_within"](spark, SF))) and "LeftSemi" in text and "Broadcast" not in text
+
+
 @pytest.mark.parametrize("name", ["e10_has_any_within", "e12_zone_edges", "e22_sensor_cascade"])
 def test_nine_cells_a_row_are_never_broadcast(spark, name):
     assert "BroadcastHashJoin [cx" not in plan(registry.queries()[name](spark, SF))
