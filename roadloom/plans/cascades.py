@@ -92,18 +92,24 @@ union all select det, eid, 3, 'address', round_even(sqrt((sx - mx) * (sx - mx) +
 b as (select * from (select *, row_number() over (partition by det order by rank, dist, eid) as k from c) where k = 1)
 select det, eid, coalesce(method, 'none') as method from sensor left join b using (det)""")
 def e22_sensor_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sensor's edge by its key among the edges into its node, else out of it, else the nearest wide one; one table of
-    candidates with a rank, and a minimum that combines before the shuffle."""
+    """A sensor's edge by its key among the edges into its node, else out of it, else the nearest wide one. One table of
+    candidates, ranked by minima that combine before the shuffle.
+
+    Sensors with a key are many, however small Spark takes their file to be, so they are merged with the ends of edges.
+    """
     k = F.col("c_custkey")
     sensor = table(spark, sf_dir, "customer").select(k.alias("det"), (F.col("c_nationkey") % 4 + 1).alias("category"), (k * 2 % 7 < 3).alias("keyed"), (k % 50 * 130 + F.col("c_nationkey") * 9).cast("double").alias("px"), (F.floor(k / 50) * 130 + 11).cast("double").alias("py"))
     e = edges(spark, sf_dir)
-    keyed = sensor.where("keyed").select("det", "category")
-    at = lambda end, rank, method: keyed.join(e.select(F.col(end).alias("det"), "category", "eid"), ["det", "category"]).select("det", F.lit(rank).alias("rank"), F.lit(0.0).alias("dist"), "eid", F.lit(method).alias("method"))
+    end = lambda node, into: F.struct(F.col(node).alias("det"), F.lit(into).alias("into"))
+    ends = e.select("category", "eid", F.explode(F.array(end("to", True), end("frm", False))).alias("s")).select("s.det", "category", "eid", "s.into")
+    keyed = sensor.where("keyed").select("det", "category").hint("merge").join(ends, ["det", "category"])
+    keyed = keyed.groupBy("det").agg(F.min(F.when(F.col("into"), F.col("eid"))).alias("in"), F.min(F.when(~F.col("into"), F.col("eid"))).alias("out"))
     mid = e.where("width_cls in (4, 5)").select("eid", ((F.col("x1") + F.col("x2")) / 2).alias("mx"), ((F.col("y1") + F.col("y2")) / 2).alias("my"))
     near = around(sensor.select("det", "px", "py"), "px", "py", 120).join(in_cells(mid, "mx", "my", 120), ["cx", "cy"]).withColumn("dist", G.hypot(F.col("px") - F.col("mx"), F.col("py") - F.col("my"))).where("dist <= 120")
-    address = near.select("det", F.lit(3).alias("rank"), F.bround("dist", 6).alias("dist"), "eid", F.lit("address").alias("method"))
-    best = at("to", 1, "in").unionByName(at("frm", 2, "out")).unionByName(address).groupBy("det").agg(F.min(F.struct("rank", "dist", "eid", "method")).alias("b"))
-    return sensor.join(best, "det", "left").select("det", F.col("b.eid").alias("eid"), F.coalesce("b.method", F.lit("none")).alias("method"))
+    near = near.groupBy("det").agg(F.min(F.struct(F.bround("dist", 6).alias("dist"), "eid")).alias("b")).select("det", F.col("b.eid").alias("address"))
+    rows = sensor.select("det").join(keyed.hint("merge"), "det", "left").join(near.hint("merge"), "det", "left")
+    method = F.when(F.col("in").isNotNull(), "in").when(F.col("out").isNotNull(), "out").when(F.col("address").isNotNull(), "address").otherwise("none")
+    return rows.select("det", F.coalesce("in", "out", "address").alias("eid"), method.alias("method"))
 
 
 @query(f"""with piece as (select l_orderkey % 500 as edge, case l_linenumber % 3 when 0 then '' when 1 then '.1' else '.-60' end as tail, sum(cast(floor(l_quantity) as bigint)) as flow, sum(cast(floor(l_quantity) as bigint) * (20 + l_partkey % 40)) as moved from lineitem group by 1, 2),

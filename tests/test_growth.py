@@ -72,6 +72,11 @@ def test_any_within_makes_no_pairs(spark):
     assert "SortMergeJoin [cx" in (text := plan(registry.queries()["e10_has_any_within"](spark, SF))) and "LeftSemi" in text and "Broadcast" not in text
 
 
+def test_sensors_are_never_broadcast_and_links_are_made_twice(spark):
+    text = plan(registry.queries()["e22_sensor_cascade"](spark, SF))
+    assert "Broadcast" not in text and text.count("part.parquet") == 8
+
+
 @pytest.mark.parametrize("name", ["e10_has_any_within", "e12_zone_edges", "e22_sensor_cascade"])
 def test_nine_cells_a_row_are_never_broadcast(spark, name):
     assert "BroadcastHashJoin [cx" not in plan(registry.queries()[name](spark, SF))
