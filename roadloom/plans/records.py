@@ -51,14 +51,14 @@ def a04_wide_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""select cast(c_custkey as varchar) as key, '札幌 "' || c_name || '", 北' || c_nationkey as name, length(repeat(c_name, 8000)) as note_chars
-from customer where c_custkey % 20 = 0 and c_custkey % 3 > 0""")
+from customer where c_custkey % 3 > 0""")
 def a04_zip_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as cp932 members of zip archives, with fields of over 128 KB, and read member by member; rows of
     every third customer are of another kind and go."""
     c = F.col("c_custkey")
     text = F.concat(F.lit('札幌 "'), F.col("c_name"), F.lit('", 北'), F.col("c_nationkey").cast("string"))
     # Rows are dealt to all tasks before they get their long field, and each task writes an archive.
-    rows = dealt(table(spark, sf_dir, "customer").where("c_custkey % 20 = 0").select("c_custkey", "c_name", "c_nationkey"), 2).select(
+    rows = dealt(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), 2).select(
         F.col("c_name").alias("owner"), F.when(c % 3 > 0, "S").otherwise("T").alias("kind"), c.cast("string").alias("key"), text.alias("name"), F.repeat("c_name", F.lit(8000)).alias("note")
     )
     path = f"{shared_folder(spark)}/zips-{uuid.uuid4().hex}"

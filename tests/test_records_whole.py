@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import random
 import shutil
 import zipfile
@@ -12,7 +14,8 @@ from pyspark.sql import functions as F
 
 from roadloom.functions import geo as G
 from roadloom.operators.faces import dissolve, rings_of
-from roadloom.sources.zips import read_zips, write_zips
+from roadloom.plans import registry
+from roadloom.sources.zips import quoted, read_zips, write_zips
 from roadloom.streaming.jobs import latest, write_batch, write_stream
 
 RING = "array<struct<x:double,y:double>>"
@@ -44,6 +47,20 @@ def test_archives_written_and_read(spark, tmp_path):
     assert read_zips(spark, f"{tmp_path}/none", ["key"]).count() == 0
 
 
+def test_zip_members_hold_every_customer(spark):
+    customers = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").select("c_custkey", "c_name").collect()
+    want = {(str(c.c_custkey), 8000 * len(c.c_name)) for c in customers if c.c_custkey % 3 > 0}
+    found = registry.queries()["a04_zip_members"](spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == len(want) == 100 and {(r["key"], r["note_chars"]) for r in found} == want
+
+
+def test_rows_are_quoted_as_the_csv_module_does():
+    rows = [("a", 'b "c"', '"', "", None, "d\ne\r\n,"), (1, -2.5, True, "北", "x" * 9, '""'), (None,)]
+    out = io.StringIO(newline="")
+    csv.writer(out, quoting=csv.QUOTE_ALL).writerows(rows)
+    assert "".join(map(quoted, rows)) == out.getvalue()
+
+
 def test_a_batch_that_comes_again_counts_once(spark, tmp_path):
     base = spark.range(40).select(F.col("id"), (F.col("id") % 4).alias("det"))
     source, folder, state = f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state"
